@@ -1 +1 @@
-"""Subpackage."""
+"""Scalar functions: hash randomness, log-gamma, rate rules."""

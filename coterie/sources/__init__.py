@@ -1 +1 @@
-"""Subpackage."""
+"""Graph and partition sources, and result sinks."""

@@ -1 +1 @@
-"""Subpackage."""
+"""Incremental graph maintenance for streams of edges (see ``edges``)."""
