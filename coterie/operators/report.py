@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def task_grid(spark: SparkSession, axes: dict[str, list], caps: dict[str, int] | None = None, size: str = "n", algorithm: str = "alg") -> DataFrame:
     """All combinations of the axes, without algorithms beyond their size cap."""
-    frames = [spark.createDataFrame([(v,) for v in values], [name]) for name, values in axes.items()]
+    frames = [spark.createDataFrame([(v,) for v in values], [name]).coalesce(1) for name, values in axes.items()]
     grid = reduce(DataFrame.crossJoin, frames)  # the axes are short lists
     for name, cap in (caps or {}).items():
         grid = grid.where(~((F.col(algorithm) == name) & (F.col(size) > cap)))
