@@ -18,7 +18,10 @@ the continuation distribution leaves for them; repeated rows score alike.
 
 from __future__ import annotations
 
+import math
+import mmap
 import os
+import sys
 import tempfile
 from dataclasses import dataclass, field
 from urllib.parse import urlparse
@@ -36,6 +39,8 @@ RANGE_BYTES = 16 << 20
 #: Words that a worker keeps hashed, and looked up; bounds memory, not results.
 MEMO_SIZE = 200_000
 SLICE = 2 << 20
+#: Arrays that a worker maps at a time (the kernel bounds maps of a process).
+MOST_MAPS = 20_000
 END = xxhash.xxh64_intdigest(b"\n")
 U = np.uint64
 
@@ -110,7 +115,8 @@ class Files:
     def map(self, name: str) -> np.ndarray:
         """The array, memory-mapped; from a remote folder through an unlinked local copy."""
         if self.local:
-            return np.load(f"{self.local}/{name}.npy", mmap_mode="r")
+            with open(f"{self.local}/{name}.npy", "rb") as f:
+                return mapped(f)
         import pyarrow.fs as pfs
 
         fs, path = pfs.FileSystem.from_uri(self.root)
@@ -119,7 +125,20 @@ class Files:
                 while part := f.read(8 << 20):
                     copy.write(part)
             copy.flush()
-            return np.load(copy.name, mmap_mode="r")
+            copy.seek(0)
+            return mapped(copy)
+
+
+def mapped(f) -> np.ndarray:
+    """The array of an open ``.npy`` file as a read-only map that needs no open file."""
+    np.lib.format.read_magic(f)
+    shape, _, dtype = np.lib.format.read_array_header_1_0(f)
+    if 0 in shape:
+        return np.zeros(shape, dtype)
+    # a tracked map holds a file handle, and a large model has more files than a process may open
+    free = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+    view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **free)
+    return np.frombuffer(view, dtype, math.prod(shape), f.tell()).reshape(shape)
 
 
 @dataclass
@@ -159,6 +178,8 @@ class Lookup:
 
     def array(self, name: str) -> np.ndarray:
         if name not in self.maps:
+            if len(self.maps) >= MOST_MAPS:
+                self.maps.pop(next(iter(self.maps)))  # it is mapped again when needed
             self.maps[name] = self.files.map(name)
         return self.maps[name]
 
