@@ -103,19 +103,23 @@ class Classifier:
 
 def train(blocked: list[str] = BLOCKED, allowed: list[str] = ALLOWED) -> Classifier:
     urls = [(u, 1.0) for u in blocked] + [(u, -1.0) for u in allowed]
-    x = np.zeros((len(urls), PLACES))
-    for row, (url, _) in zip(x, urls, strict=True):
-        for kind, text in zip("hp", split_url(url), strict=True):
-            p = places(kind, text)
-            if len(p):
-                np.add.at(row, p, 1 / np.sqrt(len(p)))
+    found = [[(int(p), 1 / np.sqrt(len(ps))) for kind, text in zip("hp", split_url(u), strict=True) for ps in [places(kind, text)] for p in ps] for u, _ in urls]
+    used = sorted({p for row in found for p, _ in row})
+    at = {p: i for i, p in enumerate(used)}
+    x = np.zeros((len(urls), len(used)))
+    for row, items in zip(x, found, strict=True):
+        for p, value in items:
+            row[at[p]] += value
     y = np.array([v for _, v in urls])
-    w, bias = np.zeros(PLACES), 0.0
+    # the weights are a combination of the rows, so descent runs on one number for each row
+    gram, c, bias = x @ x.T, np.zeros(len(urls)), 0.0
     for _ in range(STEPS):
-        slope = -y / (1 + np.exp(y * (x @ w + bias))) / len(y)
-        w -= RATE * (x.T @ slope + PENALTY * w)
+        slope = -y / (1 + np.exp(y * (gram @ c + bias))) / len(y)
+        c -= RATE * (slope + PENALTY * c)
         bias -= RATE * slope.sum()
-    return Classifier(w, bias)
+    weights = np.zeros(PLACES)
+    weights[used] = x.T @ c
+    return Classifier(weights, bias)
 
 
 def judge(pages: DataFrame, rules=RULES, model: Classifier | None = None, key: str = "page_id", url: str = "url") -> DataFrame:
