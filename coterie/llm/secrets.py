@@ -90,27 +90,34 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, key: str
     second to the ledger.  Only pairs of blob and rule version that ``ledger``
     lacks are scanned.
     """
-    names = rule_names(rules)
-    wanted = F.array(*map(F.lit, names))
     versions = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).withColumn("blob", F.sha2("text", 256))
-    blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
-    if ledger is None:
-        todo = blobs.withColumn("todo", wanted)
-    else:
-        # one row for each blob; its arrays are bounded by the number of rule versions and of spans in one text
-        known = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"), F.array_distinct(F.flatten(F.collect_list("findings"))).alias("old"))
-        todo = blobs.join(known.select("blob", "seen"), "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("todo") > 0)
-    new = scan_blobs(todo, rules)
-    if ledger is None:
-        per_blob = new.select("blob", "findings")
-    else:
-        none = F.array().cast(new.schema["findings"].dataType)
-        current = F.filter("all", lambda x: F.array_contains(wanted, x["rule"]))
-        per_blob = known.select("blob", "old").join(new.select("blob", "findings"), "blob", "full").select("blob", F.array_sort(F.concat(F.coalesce("old", none), F.coalesce("findings", none))).alias("all")).select("blob", current.alias("findings"))
+    per_blob, new = blob_findings(blobs_of(versions), ledger, rules)
     paths = versions.select("key", "blob").join(per_blob, "blob", "left").select(F.col("key").alias(key), "blob", "findings")
     return paths, new
 
 
+def blobs_of(texts: DataFrame) -> DataFrame:
+    """``blob, text``: each distinct ``text`` once, copies collapsed before the shuffle."""
+    return texts.select(F.sha2("text", 256).alias("blob"), "text").groupBy("blob").agg(F.first("text").alias("text"))
+
+
+def blob_findings(blobs: DataFrame, ledger: DataFrame | None, rules) -> tuple[DataFrame, DataFrame]:
+    """``blob, findings`` of all current rule versions, and the ledger rows that were missing."""
+    wanted = F.array(*map(F.lit, rule_names(rules)))
+    if ledger is None:
+        new = scan_blobs(blobs.withColumn("todo", wanted), rules)
+        return new.select("blob", "findings"), new
+    # one row for each blob; its arrays are bounded by the number of rule versions and of spans in one text
+    known = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"), F.array_distinct(F.flatten(F.collect_list("findings"))).alias("old"))
+    unseen = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
+    todo = blobs.join(known.select("blob", "seen"), "blob", "left").withColumn("todo", unseen).where(F.size("todo") > 0)
+    new = scan_blobs(todo, rules)
+    none = F.array().cast(new.schema["findings"].dataType)
+    current = F.filter("all", lambda x: F.array_contains(wanted, x["rule"]))
+    both = known.select("blob", "old").join(new.select("blob", "findings"), "blob", "full").select("blob", F.array_sort(F.concat(F.coalesce("old", none), F.coalesce("findings", none))).alias("all"))
+    return both.select("blob", current.alias("findings")), new
+
+
 def open_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     """The ledger table at ``path``, or None before the first scan."""
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -136,39 +143,28 @@ def joined(findings: Column) -> Column:
     return F.concat_ws(",", F.transform(findings, lambda x: F.concat_ws(":", kind(x), x["start"].cast("string"), x["end"].cast("string"))))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def cut_out(text: Column, findings: Column, mark: str) -> Column:
+    """``text`` with every span replaced by ``mark``; spans that overlap one before them are cut with it."""
+
+    def step(done: Column, x: Column) -> Column:
+        fresh = F.concat(done["out"], F.substring(text, done["at"] + 1, x["start"] - done["at"]), F.lit(mark))
+        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), F.when(x["start"] >= done["at"], fresh).otherwise(done["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(findings, start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text))))
+
+
+def redact(docs: DataFrame, ledger: DataFrame | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mark``; ``n_chars`` follows, other columns stay.
 
-    Overlapping spans are replaced once.  Texts are scanned once for each
-    distinct blob and come back to all rows that hold them.
+    Blobs are scanned as in ``scan``; their findings come back to all rows that hold them.
     """
-    prepare(docs.sparkSession)
-    versions = docs.withColumn("__coterie_blob", F.sha2(text_or_empty(), 256))
-    blobs = versions.groupBy("__coterie_blob").agg(F.first(text_or_empty()).alias("text")).withColumnRenamed("__coterie_blob", "blob")
-    item = "blob string, clean string"
-
-    def run(batches):
-        for whole in batches:
-            for batch in rows_in_slices(whole, "text"):
-                keys, clean = [], []
-                for blob, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if spans := find(text):
-                        keys.append(blob)
-                        clean.append(cut_out(text, [(x[0], x[2]) for x in spans], mark))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(clean, pa.string())], ["blob", "clean"])
-
-    dirty = blobs.select("blob", "text").mapInArrow(run, item).withColumnsRenamed({"blob": "__coterie_blob", "clean": "__coterie_clean"})
-    out = versions.join(dirty, "__coterie_blob", "left")
-    columns = {"text": F.coalesce("__coterie_clean", F.col("text")).alias("text")}
+    per_blob, _ = blob_findings(blobs_of(docs.select(text_or_empty().alias("text"))), ledger, RULES)
+    dirty = per_blob.where(F.size("findings") > 0).withColumnsRenamed({"blob": "__coterie_blob", "findings": "__coterie_found"})
+    out = docs.withColumn("__coterie_blob", F.sha2(text_or_empty(), 256)).join(dirty, "__coterie_blob", "left")
+    out = out.withColumn("__coterie_clean", F.when(F.col("__coterie_found").isNotNull(), cut_out(F.col("text"), F.col("__coterie_found"), mark)))
+    clean = F.col("__coterie_clean")
+    columns = {"text": F.coalesce(clean, F.col("text")).alias("text")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("__coterie_clean").isNull(), F.col("n_chars")).otherwise(F.char_length("__coterie_clean")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        columns["n_chars"] = F.when(clean.isNotNull(), F.char_length(clean)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return out.select(*[columns.get(c, F.col(f"`{c}`")) for c in docs.columns])
-
-
-def cut_out(text: str, spans: list[tuple[int, int]], mark: str) -> str:
-    out, at = [], 0
-    for start, end in sorted(spans):
-        if start >= at:
-            out += [text[at:start], mark]
-        at = max(at, end)
-    return "".join([*out, text[at:]])
