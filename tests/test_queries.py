@@ -19,7 +19,7 @@ def values(frame):
 @pytest.fixture(scope="module")
 def duck():
     db = duckdb.connect()
-    for t in ("customer", "supplier", "part", "orders", "lineitem"):
+    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return db
 
