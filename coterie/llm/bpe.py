@@ -30,7 +30,9 @@ from coterie.llm.common import Memo, prepare, rows_in_slices, text_or_empty
 #: The byte-level pre-tokenizer's published pattern.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Entries of one memo generation in a worker; bounds memory, not results.
-MEMO_SIZE = 200_000
+MEMO_SIZE = 100_000
+#: Bytes of text that a worker encodes at a time.
+SLICE = 2 << 20
 NO_PAIR = 1 << 62
 #: Pre-tokens of more symbols are merged one by one; rows of one vectorised step.
 LONG, ROWS = 64, 8192
@@ -290,7 +292,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     def run(batches):
         c = codec(path)
         for whole in batches:
-            for batch in rows_in_slices(whole, "text"):
+            for batch in rows_in_slices(whole, "text", SLICE):
                 packed = c.encode_all(batch.column(1).to_pylist())
                 columns = [batch.column(0), ids_array(packed)]
                 if decoded:

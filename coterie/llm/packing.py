@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from coterie.llm.bpe import codec, default_vocabulary, ids_array
+from coterie.llm.bpe import SLICE, codec, default_vocabulary, ids_array
 from coterie.llm.common import materialize, prepare, rows_in_slices, text_or_empty
 
 SIZE = 2048
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "
     def run(batches):
         c = codec(path)
         for whole in batches:
-            for batch in rows_in_slices(whole, "text"):
+            for batch in rows_in_slices(whole, "text", SLICE):
                 rows, start, cut, total = [], [], [], []
                 for row, ids in enumerate(c.encode_all(batch.column(1).to_pylist())):
                     ids += end
