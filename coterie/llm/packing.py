@@ -30,7 +30,7 @@ from coterie.llm.common import materialize, prepare, rows_in_slices, text_or_emp
 SIZE = 2048
 END = 1
 #: Pieces of one length that are ranked together in a task.
-BUCKET = 20_000
+BUCKET = 1_000
 
 
 def pieces(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:
