@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from coterie.llm import bpe, kneserney, langid, packing, registry, secrets, simhash, syncmers
 from coterie.llm.common import scratch_path
+from tests_llm_shared import brute_components, check_packed, plain_fingerprint
 
 
 def sha(x: str) -> str:
@@ -136,30 +137,6 @@ def test_bpe_query_and_decode(spark, sf, library, sample, docs, none):
 # SimHash
 
 
-def plain_fingerprint(text: str) -> int:
-    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
-    words = [w for w in re.split("[\x20\x09-\x0d]+", lowered) if w]
-    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def brute_components(prints: dict) -> dict:
-    ids, parent = list(prints), {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
-    return {x: find(x) for x in ids}
-
-
 def test_simhash_query_equals_brute_force(spark, sf, sample):
     prints = {r["doc_id"]: plain_fingerprint(r["text"] or "") for r in sample}
     want = brute_components(prints)
@@ -268,19 +245,6 @@ def test_language_model_edges(docs, none):
 # packing
 
 
-def check_packed(rows, size=2048):
-    by_sequence = {}
-    for r in rows:
-        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for spans in by_sequence.values():
-        at = 0
-        for offset, length in sorted(spans):
-            assert offset == at
-            at += length
-        assert at <= size
-    return by_sequence
-
-
 def test_packing_query(spark, sf, library, sample):
     rows = registry.op7_packing(spark, sf).collect()
     sequences = check_packed(rows)
