@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coterie.sources.graphs import Graph
+from coterie.sources.graphs import Graph, dense_ids, numbered
 
 
 def neighbours(graph: Graph, nodes: DataFrame) -> DataFrame:
@@ -52,10 +52,8 @@ def normalize(partition: DataFrame, graph: Graph) -> DataFrame:
     """Communities numbered from 0 by their smallest connected node; isolated nodes get -1."""
     labelled = partition.join(graph.deg, "node").select("node", "community", "deg")
     least = labelled.where("deg > 0").groupBy("community").agg(F.min("node").alias("least"))
-    from coterie.sources.graphs import dense_ids
-
-    numbered = dense_ids(least.select(F.col("least").alias("node"))).select(F.col("node").alias("least"), F.col("idx"))
-    ids = least.join(numbered, "least").select("community", "idx")
+    places = dense_ids(least.select(F.col("least").alias("node"))).select(F.col("node").alias("least"), F.col("idx"))
+    ids = least.join(places, "least").select("community", "idx")
     return labelled.join(ids, "community", "left").select("node", F.when(F.col("deg") == 0, -1).otherwise(F.col("idx")).cast("long").alias("community"))
 
 
@@ -86,15 +84,7 @@ def duplicates(pop: DataFrame) -> DataFrame:
 def by_size(partition: DataFrame) -> DataFrame:
     """Communities numbered from 0 by descending size, then smallest node."""
     sizes = partition.groupBy("community").agg(F.count("*").alias("size"), F.min("node").alias("least"))
-    ordered = sizes.orderBy(F.desc("size"), "least")
-    parts = ordered.select("community", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
-    counts = sorted((r["part"], r["n"]) for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect())
-    rows, before = [], 0
-    for part, n in counts:
-        rows.append((part, before))
-        before += n
-    offsets = F.broadcast(partition.sparkSession.createDataFrame(rows, "part int, before long"))  # one row for each partition
-    ids = parts.join(offsets, "part").select("community", (F.col("at") + F.col("before")).alias("new"))
+    ids = numbered(sizes.orderBy(F.desc("size"), "least")).select("community", F.col("idx").alias("new"))
     return partition.join(ids, "community").select("node", F.col("new").alias("community"))
 
 

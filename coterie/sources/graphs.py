@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coterie.scratch import materialize
+
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
     """Distinct undirected edges with ``src < dst`` of any table with ``src, dst``."""
@@ -77,21 +79,22 @@ def locus_candidates(graph: Graph, with_self: bool = False) -> DataFrame:
 def dense_ids(nodes: DataFrame, buckets: int | None = None) -> DataFrame:
     """``node, idx``: places from 0 in node order.
 
-    Nodes are ranged into partitions by a sorted sample; partition sizes are
-    summed, so no window spans the table.
+    Nodes are sorted into ranges; the ranges' sizes are summed, so no window
+    spans the table.
     """
-    ranged = nodes.select("node").distinct().sort("node")
-    with_part = ranged.select("node", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    # monotonically_increasing_id is partition << 33 plus the place in it
-    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    spark = nodes.sparkSession
-    sizes = sorted((r["part"], r["n"]) for r in with_part.groupBy("part").agg(F.count("*").alias("n")).collect())
-    before, rows = 0, []
-    for part, n in sizes:
-        rows.append((part, before))
+    return numbered(nodes.select("node").distinct().sort("node")).select("node", "idx")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Sorted ``rows`` with ``idx``, their places from 0."""
+    # stored, because a sort may cut other ranges when it runs again; the increasing id is partition << 33 plus the place in it
+    placed = materialize(rows.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")), "numbered")
+    before, table = 0, []
+    for part, n in sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()):
+        table.append((part, before))
         before += n
-    offsets = F.broadcast(spark.createDataFrame(rows, "part int, before long"))  # one row for each partition
-    return with_part.join(offsets, "part").select("node", (place + F.col("before")).alias("idx"))
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(table, "__part int, __before long"))  # one row for each partition
+    return placed.join(offsets, "__part").select(*rows.columns, (F.col("__at") + F.col("__before")).alias("idx"))
 
 
 def partition_from_dict(spark: SparkSession, labels: dict) -> DataFrame:
