@@ -1,64 +1,16 @@
-"""Shared helpers: scratch tables, worker caches, Arrow columns."""
+"""Shared helpers: scratch tables, worker caches, Arrow slices."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_SCRATCH: dict[str, str] = {}
-
-
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package from the driver's source tree.
-
-    On a cluster without a shared source tree ship the package with
-    ``--py-files``; this only adds the driver's path to the workers' search path.
-    """
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="coterie-")
-    return _LOCAL_SCRATCH[app]
-
+from coterie.scratch import drop_path, materialize, prepare, scratch_path
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/coterie-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared scratch folder and read it back.
-
-    Cuts lineage and survives the loss of any executor.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table through Hadoop's file system, whatever its scheme."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+__all__ = ["Memo", "drop_path", "materialize", "prepare", "rows_in_slices", "scratch_path", "table", "text_or_empty"]
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -96,13 +48,11 @@ def rows_in_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20)
     Bounds a worker's temporaries when texts are long; a single longer text is
     a slice of its own.
     """
-    import numpy as np
-
     n = batch.num_rows
     if not n:
         return
     col = batch.column(batch.schema.get_field_index(column))
-    sizes = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     start = 0
     while start < n:
@@ -111,5 +61,3 @@ def rows_in_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20)
         yield batch.slice(start, stop - start)
         start = stop
 
-
-import pyarrow.compute  # noqa: E402,F401  (pa.compute is a lazy submodule)
