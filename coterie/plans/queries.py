@@ -1,4 +1,4 @@
-"""The registered queries of the reference's operators, with DuckDB SQL for their rows.
+"""The registered queries of the graph operators, with DuckDB SQL for their rows.
 
 Graph: parts that share at least two orders; nodes are all parts.  The labels of
 the population are brand, type, the key's remainder by 7 (twice, the second time
