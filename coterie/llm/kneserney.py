@@ -258,14 +258,21 @@ PACKED = "part long, keys binary, counts binary"
 
 
 def packed_rows(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1].tobytes() for p in parts], pa.binary()), pa.array([p[2].astype("<u4").tobytes() for p in parts], pa.binary())], ["part", "keys", "counts"])
+    """A row for each range: sorted keys as steps, byte planes apart, so that the shuffle's codec finds the zeros."""
+    planes = [np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes() for _, keys, _ in parts]
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array(planes, pa.binary()), pa.array([p[2].astype("<u4").tobytes() for p in parts], pa.binary())], ["part", "keys", "counts"])
+
+
+def unpacked_keys(planes: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(U)[:, 0]
+    return np.cumsum(steps, dtype=U)
 
 
 def merge(columns: int):
     """A function that sums the packed rows of one range."""
 
     def run(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
-        keys = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()])
+        keys = np.concatenate([unpacked_keys(x) for x in table.column("keys").to_pylist()])
         counts = np.concatenate([np.frombuffer(x, "<u4").reshape(-1, columns) for x in table.column("counts").to_pylist()])
         return table.column("part")[0].as_py(), *summed(keys, counts.astype(np.int64))
 
@@ -338,7 +345,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         part, keys, counts = merge(1)(table)
         counts = counts[:, 0]
         files.write(f"pair-keys-{part}", keys)
-        files.write(f"pair-counts-{part}", counts.astype(np.uint32))
+        files.write(f"pair-counts-{part}", counts.astype(np.min_scalar_type(counts.max())))
         pair = unmix(keys)
         before, after = (pair >> U(32)).astype(np.int64), (pair & U(0xFFFFFFFF)).astype(np.int64)
         rows = [{"kind": "total", "part": -1, "keys": b"", "counts": b"", "n": [len(keys), *(int((counts == i).sum()) for i in (1, 2, 3, 4))]}]
@@ -350,7 +357,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         which = np.searchsorted(np.array(model.first_id[1:]), ids, side="right")
         for r in np.unique(which).tolist():
             a, b = np.searchsorted(which, [r, r + 1])
-            rows.append({"kind": "words", "part": r, "keys": ids[a:b].astype("<u8").tobytes(), "counts": own[a:b].astype("<u4").tobytes(), "n": []})
+            rows.append({"kind": "words", "part": r, "keys": packed_rows([(r, ids[a:b].astype(U), own[a:b])]).column(1)[0].as_py(), "counts": own[a:b].astype("<u4").tobytes(), "n": []})
         return pa.Table.from_pylist(rows, pa.schema([("kind", pa.string()), ("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.list_(pa.int64()))]))
 
     found = materialize(source.mapInArrow(count_pairs, PACKED).groupBy("part").applyInArrow(write_pairs, stats), "lm-stats")
