@@ -71,8 +71,9 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius % 2:
         raise ValueError("radius must be even")
     masks = F.array(*[F.lit(m).cast("long") for m in ball(radius // 2)])
-    # a fixed number of partitions: few bytes become many variants, so AQE must not merge them
-    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # a fixed number of partitions: few bytes become many variants, so AQE must not merge them (by another
+    # expression than the key, or Spark would drop this shuffle and keep the merged one before it)
+    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.hash("fp"))
     variants = spread.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     # a variant's group holds at most the size of the ball: fingerprints are distinct
     groups = variants.groupBy("variant").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
