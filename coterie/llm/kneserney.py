@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from coterie.llm.common import Memo, materialize, prepare, rows_in_slices, scratch_path
 
 #: Bytes of text whose word pairs one range may hold, about; ranges grow in number with the input.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 #: Words that a worker keeps hashed, and looked up; bounds memory, not results.
-MEMO_SIZE = 200_000
+MEMO_SIZE = 80_000
 SLICE = 2 << 20
 #: Arrays that a worker maps at a time (the kernel bounds maps of a process).
 MOST_MAPS = 20_000
@@ -77,10 +77,10 @@ def cut_ranges(keys: np.ndarray, ranges: int):
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts (a column for each sum)."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first, axis=0) if len(first) else counts
+    return keys[first], np.add.reduceat(counts, first, axis=0, dtype=np.int64) if len(first) else counts.astype(np.int64)
 
 
 class Files:
@@ -274,7 +274,7 @@ def merge(columns: int):
     def run(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
         keys = np.concatenate([unpacked_keys(x) for x in table.column("keys").to_pylist()])
         counts = np.concatenate([np.frombuffer(x, "<u4").reshape(-1, columns) for x in table.column("counts").to_pylist()])
-        return table.column("part")[0].as_py(), *summed(keys, counts.astype(np.int64))
+        return table.column("part")[0].as_py(), *summed(keys, counts)
 
     return run
 
@@ -292,7 +292,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     def count_words(batches):
         memo = Memo(xxhash.xxh64_intdigest, MEMO_SIZE)
         for whole in batches:
-            for batch in rows_in_slices(whole, "text", 4 * SLICE):
+            for batch in rows_in_slices(whole, "text", SLICE):
                 counts: dict[bytes, int] = {}
                 texts = batch.column(0).to_pylist()
                 for x in texts:
