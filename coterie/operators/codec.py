@@ -75,33 +75,38 @@ def majority_step(pop: DataFrame, wadj: DataFrame) -> DataFrame:
     return pop.join(best, ["ind", "node"], "left").select("ind", "node", F.coalesce(-F.col("best.minus"), F.col("label")).alias("label"))
 
 
-def propagate(centres: DataFrame, graph: Graph, wadj: DataFrame, most_rounds: int = 100) -> DataFrame:
+def propagate(centres: DataFrame, graph: Graph, wadj: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """Labels spread from ``centres(ind, node)`` in synchronous rounds.
 
-    Centres keep their own label.  A node takes the heaviest set label around it,
-    keeps its own on ties, and moves only in rounds of its parity, which stops
-    pairs from swapping for ever.  What no centre reaches is filled by component.
+    Centres keep their own label.  A node takes the heaviest set label around it
+    and keeps its own on ties.  A node with a label moves in a random half of the
+    rounds, which stops pairs from swapping for ever.  Ends when no node wants to
+    move; by default after at most 100 rounds more than there are nodes, which
+    any path needs at most to be spread over.  What no centre reaches is filled by
+    component.
     """
     spark = graph.nodes.sparkSession
+    most_rounds = graph.nodes.count() + 100 if most_rounds is None else most_rounds
+    wadj, wadj_path = store(wadj, "adjacency")
     inds = centres.select("ind").distinct()
     marked = inds.crossJoin(graph.nodes).join(centres.select("ind", "node", F.lit(True).alias("centre")), ["ind", "node"], "left")
     now, path = store(marked.select("ind", "node", F.when(F.col("centre"), F.col("node")).alias("label"), F.coalesce("centre", F.lit(False)).alias("centre")), "spread")
-    still = 0
     for round_ in range(most_rounds):
         votes = weighted_votes(now.where("label is not null").select("ind", "node", "label"), wadj)
-        best = votes.groupBy("ind", "node").agg(F.max(F.struct("weight", (-F.col("label")).alias("minus"))).alias("best"))
-        own = votes.withColumnRenamed("weight", "own")
-        joined = now.join(best, ["ind", "node"], "left").join(own, ["ind", "node", "label"], "left")
-        free = ~F.col("centre") & F.col("best").isNotNull()
-        turn = F.col("label").isNull() | (F.pmod(F.xxhash64("node"), F.lit(2)) == round_ % 2)
-        moves = free & turn & (F.col("best.weight") > F.coalesce("own", F.lit(0.0)))
-        new, new_path = store(joined.select("ind", "node", F.when(moves, -F.col("best.minus")).otherwise(F.col("label")).alias("label"), "centre", moves.alias("moved")), "spread")
-        still = 0 if not new.where("moved").isEmpty() else still + 1
+        # a node's votes in one group: the best, and that of its own label
+        met = now.join(votes.withColumnRenamed("label", "vote"), ["ind", "node"], "left")
+        best = F.max(F.struct("weight", (-F.col("vote")).alias("minus"))).alias("best")
+        tally = met.groupBy("ind", "node").agg(F.first("label").alias("label"), F.first("centre").alias("centre"), best, F.max(F.when(F.col("vote") == F.col("label"), F.col("weight"))).alias("own"))
+        wants = ~F.col("centre") & F.col("best.weight").isNotNull() & (F.col("best.weight") > F.coalesce("own", F.lit(0.0)))
+        turn = F.col("label").isNull() | (F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(2)) == 0)
+        new, new_path = store(tally.select("ind", "node", F.when(wants & turn, -F.col("best.minus")).otherwise(F.col("label")).alias("label"), "centre", wants.alias("wanted")), "spread")
+        settled = new.where("wanted").isEmpty()
         drop_path(spark, path)
-        now, path = new.drop("moved"), new_path
-        if still == 2:
-            break
-    return fill_unset(now.select("ind", "node", "label"), graph)
+        now, path = new.drop("wanted"), new_path
+        if settled:
+            drop_path(spark, wadj_path)
+            return fill_unset(now.select("ind", "node", "label"), graph)
+    raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
 
 
 def encode_centres(pop: DataFrame, wadj: DataFrame) -> DataFrame:

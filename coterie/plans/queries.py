@@ -675,7 +675,7 @@ def propagate_labels(spark, sf):
     """Spread from every fiftieth part: each label is a part that bears it itself."""
     g = co_purchase(spark, sf)
     centres = g.nodes.where("node % 50 = 0").select(F.lit(0).alias("ind"), "node")
-    found = codec.propagate(centres, g, codec.unit_weights(g), 6)
+    found = codec.propagate(centres, g, codec.unit_weights(g))
     own = found.select(F.col("node").alias("label"), F.col("label").alias("label_of_label"))
     return audit(found.join(own, "label", "left"), F.col("label").isNull() | (F.col("label") != F.col("label_of_label")))
 

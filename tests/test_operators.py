@@ -170,6 +170,38 @@ def test_codecs(spark, triangles):
     assert codec.consensus_weights(w, p.where("false"), 0.5).count() == w.count()
 
 
+@pytest.fixture
+def plain_plans(spark):
+    """Many rounds over few rows: plans without adaptive steps and compiled stages start faster."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false", "spark.sql.shuffle.partitions": "1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_propagation_ends_between_nodes_that_want_each_others_label(spark, plain_plans):
+    odd = [r["id"] for r in spark.range(2, 20).where(F.pmod(F.xxhash64("id"), F.lit(2)) == 1).collect()]
+    a, b = odd[:2]
+    g = graph(spark, [(0, a), (a, b), (1, b)])
+    w = g.adj.withColumn("w", F.when(F.col("u").isin(a, b) & F.col("v").isin(a, b), 3.0).otherwise(1.0))
+    got = {r["node"]: r["label"] for r in codec.propagate(spark.createDataFrame([(0, 0), (0, 1)], "ind int, node long"), g, w).collect()}
+    assert got[0] == 0 and got[1] == 1 and got[a] == got[b]
+
+
+def test_propagation_that_is_not_settled_raises(spark, plain_plans):
+    short = graph(spark, [(i, i + 1) for i in range(9)])
+    with pytest.raises(RuntimeError):
+        codec.propagate(spark.createDataFrame([(0, 0)], "ind int, node long"), short, codec.unit_weights(short), 6)
+
+
+def test_propagation_spreads_over_a_long_path(spark, plain_plans):
+    path = graph(spark, [(i, i + 1) for i in range(199)])
+    assert set(labels_of(codec.propagate(spark.createDataFrame([(0, 0)], "ind int, node long"), path, codec.unit_weights(path)))) == {0}
+
+
 def test_tiny_communities_follow_the_heavier_edge(spark):
     g = graph(spark, [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (2, 6), (3, 6)])
     p = pop(spark, [0, 0, 0, 3, 3, 3, 6])
