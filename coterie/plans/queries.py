@@ -141,6 +141,12 @@ def graph_neighbours(spark, sf):
     return accessors.neighbours(g, g.nodes.where("node % 10 = 3"))
 
 
+@query("SELECT u AS node, v AS neighbour FROM adj")
+def graph_neighbours_all(spark, sf):
+    g = co_purchase(spark, sf)
+    return accessors.neighbours(g, g.nodes)
+
+
 @query("SELECT node, coalesce(string_agg(v, ',' ORDER BY v), '') AS neighbours FROM nodes LEFT JOIN adj ON u = node GROUP BY node")
 def graph_neighbour_lists(spark, sf):
     return neighbour_lists(co_purchase(spark, sf)).select("node", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
@@ -327,6 +333,14 @@ def pareto_ranks(spark, sf):
     return pareto.non_dominated_sort(vectors(spark, sf)).where("rank <= 2").select("ind", "rank")
 
 
+@query(
+    ", above AS (SELECT q.ind AS a, p.ind AS b FROM points q, points p WHERE q.x <= p.x AND q.y <= p.y AND q.z <= p.z AND (q.x < p.x OR q.y < p.y OR q.z < p.z)), "
+    "chain AS (SELECT ind, 1 AS rank FROM points UNION SELECT above.b, chain.rank + 1 FROM chain JOIN above ON above.a = chain.ind) SELECT ind, max(rank) AS rank FROM chain GROUP BY ind"
+)
+def pareto_ranks_all(spark, sf):
+    return pareto.non_dominated_sort(vectors(spark, sf)).select("ind", "rank")
+
+
 @query(
     "SELECT ind, CASE WHEN a IS NULL OR b IS NULL OR c IS NULL OR d IS NULL OR e IS NULL OR f IS NULL THEN -1 ELSE round((b - a) / nullif(rx, 0) + (d - c) / nullif(ry, 0) + (f - e) / nullif(rz, 0), 6) END AS crowd FROM (SELECT ind, "
     "lag(x) OVER wx AS a, lead(x) OVER wx AS b, lag(y) OVER wy AS c, lead(y) OVER wy AS d, lag(z) OVER wz AS e, lead(z) OVER wz AS f, max(x) OVER () - min(x) OVER () AS rx, max(y) OVER () - min(y) OVER () AS ry, max(z) OVER () - min(z) OVER () AS rz FROM front "
@@ -385,6 +399,13 @@ def max_min_distance(spark, sf):
     return rounded(pareto.max_min_distance(front, objs.where("ind % 10 = 0").join(front.select("ind"), "ind", "left_anti")))
 
 
+@query("SELECT ind, round(distance, 6) AS distance FROM (SELECT p.ind, min(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2))) AS distance FROM front p, points q WHERE q.ind NOT IN (SELECT ind FROM front) GROUP BY p.ind) ORDER BY distance DESC, ind LIMIT 1")
+def max_min_distance_all(spark, sf):
+    objs = vectors(spark, sf)
+    front = materialize(pareto.rank_one(objs), "front")
+    return rounded(pareto.max_min_distance(front, objs.join(front.select("ind"), "ind", "left_anti")))
+
+
 @query("SELECT ind, round(1 - intra - inter, 6) + 0.0 AS score FROM objs ORDER BY score DESC, ind DESC LIMIT 1")
 def select_max_q(spark, sf):
     return rounded(pareto.select_max(objectives.objectives(population(spark, sf), co_purchase(spark, sf)), F.round("q", 6)).select("ind", "score"))
@@ -481,6 +502,13 @@ def ensemble_majority(spark, sf):
     return variation.ensemble_majority(votes.where(F.size(F.array_distinct("labels")) < 4), 1, 0).select("node", "label")
 
 
+@query()
+def ensemble_majority_all(spark, sf):
+    """All nodes; a label is drawn where all four differ, so there is no SQL."""
+    parents = spark.createDataFrame([(0, [0, 1, 2, 4])], "child int, parents array<int>")
+    return variation.ensemble_majority(variation.parent_votes(population(spark, sf), parents), 1, 0).select("node", "label")
+
+
 # reports
 
 
