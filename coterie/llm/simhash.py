@@ -81,15 +81,19 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, fp, component_id`` for every row: the smallest key reachable over links."""
+def classes(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, fp, root, component_id`` for every row: its component's fingerprint that names it and smallest key."""
     rows = materialize(fingerprints(docs, key, text), "simhash")
     prints = rows.groupBy("fp").agg(F.min("key").alias("least"))
     roots = materialize(connected_components(links(prints.select("fp"), radius)), "simhash-roots")
     of_print = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = of_print.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = of_print.join(of_root, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return rows.join(of_print.join(of_root, "root").select("fp", "root", "component_id"), "fp").select(F.col("key").alias(key), "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, fp, component_id`` for every row: the smallest key reachable over links."""
+    return classes(docs, radius, key, text).select(key, "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -97,7 +101,17 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest ``doc_id``; rows without an id stay."""
-    classes = near_duplicates(docs, radius)
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """``docs`` with one row of each component: that of the smallest ``doc_id``; rows without an id stay.
+
+    Where an id has several rows, the component keeps its smallest (signed) fingerprint and
+    of that the least text, then the least of the other columns in their order.
+    """
+    rows = materialize(classes(docs, radius), "simhash-classes")
+    least = rows.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "root").agg(F.min("fp").alias("fp")).select("doc_id", "fp")
+    many = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    once = docs.join(least.join(many, "doc_id", "left_anti"), "doc_id", "left_semi").select(docs.columns)
+    # only rows that share an id are hashed again, each as a whole row
+    shared = docs.join(many, "doc_id", "left_semi").select(F.struct("text", *[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    kept = fingerprints(shared, "row").select(F.col("key.doc_id").alias("doc_id"), "fp", "key").join(least, ["doc_id", "fp"], "left_semi")
+    one = kept.groupBy("doc_id", "fp").agg(F.min("key").alias("key")).select(*[F.col(f"key.{c}").alias(c) for c in docs.columns])
+    return once.unionByName(one).unionByName(docs.where(F.col("doc_id").isNull()))

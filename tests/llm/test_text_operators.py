@@ -165,6 +165,14 @@ def test_simhash_links_chains_and_edges(spark, docs, none):
     assert sorted(x for x in kept if x is not None) == sorted({r["component_id"] for r in out if r["doc_id"] is not None}) and kept.count(None) == 1
 
 
+def test_dedup_keeps_one_row_of_each_component_of_a_shared_id(spark):
+    near, own = "the quick brown fox jumps over the lazy dog", "seven green bottles stand on one long and very old wall"
+    rows = [(1, near, "a"), (2, near, "b"), (2, own, "c"), (3, near, "d"), (4, own, "e"), (5, "alpha beta gamma delta", "f"), (5, "one two three four five", "h"), (5, "one two three four five", "g")]
+    for some in (rows, rows[::-1]):
+        got = simhash.deduplicate(spark.createDataFrame(some, "doc_id long, text string, source string")).collect()
+        assert sorted((r["doc_id"], r["source"]) for r in got) == [(1, "a"), (2, "c"), (5, "f"), (5, "g")]
+
+
 # Kneser-Ney
 
 
