@@ -22,23 +22,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Memo(dict):
-    """A bounded memo: two generations of at most ``size`` entries each.
+    """A memo bounded by bytes: two generations of about ``most_bytes`` each.
 
-    ``memo[key]`` computes missing values with ``fill``; when the young
-    generation is full it becomes the old one, so memory stays bounded and
-    frequent keys survive.  It changes speed only, never values.
+    ``memo[key]`` computes missing values with ``fill``; ``keep`` adds values.
+    When the young generation is full it becomes the old one, so memory stays
+    bounded and frequent keys survive.  Keys longer than ``LONGEST`` are never
+    kept.  It changes speed only, never values.
     """
 
-    def __init__(self, fill, size: int):
+    LONGEST = 200
+    #: Bytes of an entry besides its characters: two objects and their place in the table.
+    ENTRY = 150
+
+    def __init__(self, fill, most_bytes: int):
         super().__init__()
-        self.fill, self.size, self.old = fill, size, {}
+        self.fill, self.most_bytes, self.bytes, self.old = fill, most_bytes, 0, {}
+
+    def keep(self, items: dict) -> None:
+        """Add ``items``."""
+        longest, entry, most, held = self.LONGEST, self.ENTRY, self.most_bytes, self.bytes
+        for key, value in items.items():
+            n = len(key)
+            if n > longest:
+                continue
+            held += entry + 2 * n + (len(value) if type(value) is bytes else 0)
+            if held > most:
+                self.old, held = dict(self), entry + 2 * n
+                self.clear()
+            self[key] = value
+        self.bytes = held
 
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.fill(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        self.keep({key: value})
         return value
 
 

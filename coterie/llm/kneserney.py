@@ -36,8 +36,8 @@ from coterie.llm.common import Memo, materialize, prepare, rows_in_slices, scrat
 
 #: Bytes of text whose word pairs one range may hold, about; ranges grow in number with the input.
 RANGE_BYTES = 8 << 20
-#: Words that a worker keeps hashed, and looked up; bounds memory, not results.
-MEMO_SIZE = 80_000
+#: Bytes of one generation of a worker's word hashes; bounds memory, not results.
+MEMO_BYTES = 16 << 20
 SLICE = 2 << 20
 #: Arrays that a worker maps at a time (the kernel bounds maps of a process).
 MOST_MAPS = 20_000
@@ -173,7 +173,7 @@ class Lookup:
 
     def __init__(self, model: Model):
         self.model, self.files, self.maps = model, Files(model.root), {}
-        self.hash = Memo(xxhash.xxh64_intdigest, MEMO_SIZE)
+        self.hash = Memo(xxhash.xxh64_intdigest, MEMO_BYTES)
         self.last = np.array(model.first_id[1:], np.int64)
 
     def array(self, name: str) -> np.ndarray:
@@ -290,7 +290,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     files = Files(root)
 
     def count_words(batches):
-        memo = Memo(xxhash.xxh64_intdigest, MEMO_SIZE)
+        memo = Memo(xxhash.xxh64_intdigest, MEMO_BYTES)
         for whole in batches:
             for batch in rows_in_slices(whole, "text", SLICE):
                 counts: dict[bytes, int] = {}

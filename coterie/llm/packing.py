@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "
     """
     prepare(docs.sparkSession)
     path = vocabulary or default_vocabulary()
-    source = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
+    source = docs.select(F.col(key).alias("key"), text_or_empty(text).cast("binary").alias("text"))
     schema = T.StructType([T.StructField("key", source.schema["key"].dataType), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens"))])
     if keep_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
