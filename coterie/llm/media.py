@@ -7,10 +7,16 @@ losslessly as uncompressed 8-bit frames of 8 x 8 samples, so that every media
 column has a plain form to test against; ``payload`` reads bytes back through
 the sample tables.
 
-Defined results: null, empty or malformed bytes give null fields and the reason
-in ``error``; a track without a sync table has only key frames; of several
-tracks the first video track counts, else the first one; fragments outside the
-movie box are not indexed.
+Every field is read within its own box, and boxes are walked with a stack of
+their ends, so no file can make a reader fail: whatever breaks the format becomes
+the row's ``error``.
+
+Defined results: null, empty or malformed bytes, also boxes nested deeper than
+``DEEPEST``, give null fields and the reason in ``error``; a track without a sync
+table has only key frames; of several tracks the first video track counts, else
+the first one; fragments outside the movie box are not indexed; equal rows give
+equal rows, an empty table none; columns besides the key and the text or
+container are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ from pyspark.sql import functions as F
 from coterie.llm.common import prepare, rows_in_slices, text_or_empty
 
 NESTED = frozenset([b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta"])
+#: Levels of nested boxes.
+DEEPEST = 32
 SIDE = 8
 FRAME = SIDE * SIDE
 #: Frames a second, frames from one key frame to the next, frames of a chunk in `store`.
@@ -38,11 +46,16 @@ class Malformed(ValueError):
     """A container that breaks its format."""
 
 
-def walk(data, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()):
+def walk(data):
     """``(path, first byte of the content, end)`` of every box, parents first."""
-    end = len(data) if end is None else end
-    at = start
-    while at < end:
+    at, ends, path = 0, [len(data)], ()
+    while True:
+        while ends and at >= ends[-1]:
+            ends.pop()
+            path = path[:-1]
+        if not ends:
+            return
+        end = ends[-1]
         if end - at < 8:
             raise Malformed("cut box header")
         size, kind = struct.unpack_from(">I4s", data, at)
@@ -55,11 +68,22 @@ def walk(data, start: int = 0, end: int | None = None, path: tuple[bytes, ...] =
             size = end - at
         if size < head or at + size > end:
             raise Malformed(f"box {kind!r} of {size} bytes")
-        here = (*path, kind)
-        yield here, at + head, at + size
+        yield (*path, kind), at + head, at + size
         if kind in NESTED:
-            yield from walk(data, at + head, at + size, here)
-        at += size
+            if len(ends) > DEEPEST:
+                raise Malformed(f"boxes nested deeper than {DEEPEST}")
+            ends.append(at + size)
+            path = (*path, kind)
+            at += head
+        else:
+            at += size
+
+
+def fields(kind: str, data, at: int, end: int, skip: int) -> tuple:
+    """Big-endian numbers ``skip`` bytes into the box whose content is ``at`` to ``end``."""
+    if at + skip + struct.calcsize(kind) > end:
+        raise Malformed("field beyond its box")
+    return struct.unpack_from(kind, data, at + skip)
 
 
 @dataclass
@@ -84,7 +108,7 @@ class Track:
         if np.any(reach < 0):
             raise Malformed("chunk runs out of order")
         per_chunk = np.repeat(runs[:, 1], reach)
-        if per_chunk.sum() != len(sizes) or len(per_chunk) != len(offsets):
+        if len(per_chunk) != len(offsets) or np.any(per_chunk > len(sizes)) or per_chunk.sum() != len(sizes):
             raise Malformed("chunks and samples differ in number")
         chunk = np.repeat(np.arange(len(offsets)), per_chunk)
         before = np.cumsum(sizes) - sizes
@@ -103,46 +127,50 @@ class Track:
 
 def table(data, at: int, end: int, skip: int, kind: str, columns: int) -> np.ndarray:
     """A counted table of big-endian numbers that begins ``skip`` bytes into the box."""
-    (count,) = struct.unpack_from(">I", data, at + skip)
+    (count,) = fields(">I", data, at, end, skip)
     width = np.dtype(kind).itemsize * columns
     if at + skip + 4 + count * width > end:
         raise Malformed("table beyond its box")
-    return np.frombuffer(data, kind, count * columns, at + skip + 4).astype(np.int64).reshape(-1, columns)
+    found = np.frombuffer(data, kind, count * columns, at + skip + 4)
+    if found.size and found.max() >= 1 << 62:
+        raise Malformed("number beyond any file")
+    return found.astype(np.int64).reshape(-1, columns)
 
 
 def parse(data: bytes) -> list[Track]:
     tracks: list[Track] = []
-    try:
-        for path, at, end in walk(data):
-            name = path[-1]
-            if name == b"trak":
-                tracks.append(Track())
-            if len(path) < 2 or path[0] != b"moov" or not tracks:
-                continue
-            t = tracks[-1]
-            if name == b"mdhd":
-                t.timescale, t.duration = struct.unpack_from(">IQ", data, at + 20) if data[at] else struct.unpack_from(">II", data, at + 12)
-            elif name == b"hdlr":
-                t.kind = data[at + 8 : at + 12].decode("latin-1")
-            elif name == b"stsd" and struct.unpack_from(">I", data, at + 4)[0]:
-                t.codec = data[at + 12 : at + 16].decode("latin-1")
+    for path, at, end in walk(data):
+        name = path[-1]
+        if name == b"trak":
+            tracks.append(Track())
+        if len(path) < 2 or path[0] != b"moov" or not tracks:
+            continue
+        t = tracks[-1]
+        if name == b"mdhd":
+            (version,) = fields(">B", data, at, end, 0)
+            t.timescale, t.duration = fields(">IQ", data, at, end, 20) if version else fields(">II", data, at, end, 12)
+            if t.duration >= 1 << 63:
+                raise Malformed("duration beyond 63 bits")
+        elif name == b"hdlr":
+            t.kind = fields(">4s", data, at, end, 8)[0].decode("latin-1")
+        elif name == b"stsd":
+            if fields(">I", data, at, end, 4)[0]:
+                t.codec = fields(">4s", data, at, end, 12)[0].decode("latin-1")
                 if t.kind == "vide" and end - at >= 44:
-                    t.width, t.height = struct.unpack_from(">HH", data, at + 40)
-            elif name == b"stts":
-                t.tables["times"] = table(data, at, end, 4, ">u4", 2)
-            elif name == b"stsc":
-                t.tables["runs"] = table(data, at, end, 4, ">u4", 3)
-            elif name == b"stsz":
-                size, count = struct.unpack_from(">II", data, at + 4)
-                if size and count * size > len(data):
-                    raise Malformed("more samples than bytes")
-                t.tables["sizes"] = np.full(count, size, np.int64) if size else table(data, at, end, 8, ">u4", 1)[:, 0]
-            elif name in (b"stco", b"co64"):
-                t.tables["offsets"] = table(data, at, end, 4, ">u4" if name == b"stco" else ">u8", 1)[:, 0]
-            elif name == b"stss":
-                t.tables["sync"] = table(data, at, end, 4, ">u4", 1)[:, 0]
-    except struct.error as e:
-        raise Malformed(str(e)) from e
+                    t.width, t.height = fields(">HH", data, at, end, 40)
+        elif name == b"stts":
+            t.tables["times"] = table(data, at, end, 4, ">u4", 2)
+        elif name == b"stsc":
+            t.tables["runs"] = table(data, at, end, 4, ">u4", 3)
+        elif name == b"stsz":
+            size, count = fields(">II", data, at, end, 4)
+            if size and count * size > len(data):
+                raise Malformed("more samples than bytes")
+            t.tables["sizes"] = np.full(count, size, np.int64) if size else table(data, at, end, 8, ">u4", 1)[:, 0]
+        elif name in (b"stco", b"co64"):
+            t.tables["offsets"] = table(data, at, end, 4, ">u4" if name == b"stco" else ">u8", 1)[:, 0]
+        elif name == b"stss":
+            t.tables["sync"] = table(data, at, end, 4, ">u4", 1)[:, 0]
     return tracks
 
 
@@ -210,6 +238,8 @@ def index_row(data: bytes | None) -> dict:
     try:
         t = chosen(data or b"")
         ranges = [{"start": a, "end": b} for a, b in t.keyframes()]
+        if any(r["end"] > len(data) for r in ranges):
+            raise Malformed("samples beyond the file")
         return {"codec": t.codec, "kind": t.kind, "width": t.width, "height": t.height, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.tables.get("sizes", ())), "keyframes": ranges, "error": None}
     except Malformed as e:
         return dict.fromkeys(x.split()[0] for x in ("codec", "kind", "width", "height", "timescale", "duration", "n_samples", "keyframes")) | {"error": str(e)}
