@@ -2,14 +2,19 @@
 
 ``judge`` splits a URL into host and path, applies the longest fitting rule and
 asks the classifier about the rest.  The classifier learns from a small labelled
-table of URLs (a parameter; by default made from two lists of names); host and path n-grams have separate hashed places.
+table of URLs (a parameter; by default ``LABELLED``, written out of general
+topics).  N-grams of host and path have separate hashed places, and both tell
+something: a tame host with a bad path is weighed by both.
 
 Defined results: a null URL, or one without ``://``, has empty host and path,
-fits no rule and is allowed; repeated rows get equal verdicts.
+fits no rule and is allowed; of rules equally long, the first by name wins; a
+score of exactly 0 allows; repeated rows get equal verdicts, an empty table none;
+columns besides the key and the URL are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -29,32 +34,78 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-#: Names of the labelled training URLs.
-BLOCKED_NAMES = """
-spam-farm spam-links link-farm spamhost cheap-pills cheap-meds online-pharmacy pills-discount casino-win casino-bonus win-big-casino poker-casino
-free-bets bets-online sports-betting freebets adult-x xxx-adult adult-videos sex-cams ads-track ad-tracker track-ads pop-ads
-malware-download free-crack-keygen phishing-login payday-loans lottery-win get-rich-quick miracle-diet-pills torrent-warez
-""".split()
-ALLOWED_NAMES = """
-therin ththth tiontion tionsh ththan theren tionble ththen therti ththre thernd thering
-news library university weather recipes gardening museum travel-guide docs-software cycling-forum history school
-science-daily newspaper hospital city-council books orchestra bakery encyclopedia
-""".split()
-PREFIXES = ("", "www.", "blog.", "m.")
-ENDINGS = ("example.com", "example.net", "example.org", "test")
-PATHS = ("/en/{}", "/fr/{}", "/de/{}/", "/es/{}.html")
-
-
-def labelled(names: list[str]) -> list[str]:
-    """Four URLs of each name; prefixes, endings and paths are dealt alike to all names, so that they tell nothing."""
-    return [f"https://{PREFIXES[v]}{name}.{ENDINGS[(i + v) % 4]}{PATHS[(i // 4 + v) % 4].format(97 * (4 * i + v) % 1000)}" for i, name in enumerate(names) for v in range(4)]
-
-
-BLOCKED, ALLOWED = labelled(BLOCKED_NAMES), labelled(ALLOWED_NAMES)
-
+#: Topics of the labelled training URLs: words of hosts and words of paths.
+BLOCKED_TOPICS = {
+    "casino poker roulette jackpot slots blackjack gamble": "free-spins deposit-bonus big-win jackpot play-slots",
+    "bet mybets betting odds bookmaker wager": "place-bet free-bet live-odds betting-tips",
+    "pills pharmacy viagra cheap-meds drugstore tablets": "buy-pills no-prescription discount-meds order-cheap",
+    "adult sex porn xxx nude cams escort": "xxx-videos live-sex nude-pics adult-chat",
+    "spammer bulk-mail linkfarm backlinks seo-links clickbait": "buy-backlinks link-list mass-mail spam",
+    "adserver ads banner tracker tracking popunder pixel": "adclick track-click popup pixel-gif impression",
+    "warez crack keygen torrent nulled serials": "download-crack keygen-free full-cracked torrent-file",
+    "phishing login-verify account-secure wallet-unlock": "verify-account confirm-password unlock-wallet signin-update",
+    "payday loans quick-cash credit-fix lottery": "instant-loan easy-money claim-prize lottery-winner",
+    "miracle-diet weight-loss hair-growth": "lose-weight-fast miracle-cure one-weird-trick",
+}
+ALLOWED_TOPICS = {
+    "news herald gazette tribune journal chronicle": "world politics opinion archive",
+    "university college school institute faculty": "courses research library students",
+    "library archive museum gallery heritage": "collections exhibits catalogue visit",
+    "docs developer manual reference wiki": "guide tutorial api-reference changelog",
+    "weather climate astronomy geology biology": "forecast maps observations data",
+    "recipes kitchen garden bakery farm-shop": "seasonal soups vegetables bread",
+    "hospital clinic health medicine nursing": "patients advice departments vaccines",
+    "city council county government ministry": "services planning transport statistics",
+    "forum community club society choir orchestra": "threads members events concerts",
+    "travel railway harbour mountain cycling": "routes timetable hotels trails",
+}
+PREFIXES = ("", "www.", "blog.", "m.", "shop.")
+ENDINGS = ("com", "net", "org", "info", "co.uk", "io", "de")
+NEUTRAL = ("", "contact", "about", "articles/{}", "en/{}", "{}.html", "index.html", "p/{}/", "fr/{}", "2020/{}", "de/{}/", "page-{}", "es/{}")
+
+
+def plain_name(i: int) -> str:
+    """The ``i``-th name without a topic: two to four open syllables."""
+    h = zlib.crc32(str(i).encode())
+    return "".join("bcdfghjklmnprstvwyz"[h // 101**k % 19] + "aeiou"[h // 7 // 101**k % 5] + "nrsl"[: h // 3**k % 2][:1] for k in range(2 + h % 3))
+
+
+def labelled_urls() -> list[tuple[str, str]]:
+    """``(url, label)`` rows by a fixed rule.
+
+    Every topic's hosts stand alone, beside a name without a topic and beside the topic's next word, each
+    with a path of the topic and with a neutral one; most rows are names without a topic, which are allowed
+    unless their path is of a blocked topic.  Prefixes, endings and neutral paths are dealt by a hash of the
+    host, so alike to both labels.
+    """
+    rows: list[tuple[str, str]] = []
+
+    def add(host: str, label: str, word: str = "") -> None:
+        h = zlib.crc32(f"{host} {word}".encode())
+        tail = f"{word}/{h % 900}" if word and h % 2 else word or NEUTRAL[h // 64 % len(NEUTRAL)].format(h % 9000)
+        rows.append((f"https://{PREFIXES[h // 4 % 5]}{host}.{ENDINGS[h // 16 % 7]}/{tail}", label))
+
+    for label, topics in (("block", BLOCKED_TOPICS), ("allow", ALLOWED_TOPICS)):
+        for n, (hosts, paths) in enumerate(topics.items()):
+            names, words = hosts.split(), paths.split()
+            for i, name in enumerate(names):
+                for j, host in enumerate((name, f"{name}-{plain_name(50 * n + i)}", plain_name(50 * n + i + 25) + name, f"{name}-{names[(i + 1) % len(names)]}")):
+                    add(host, label)
+                    add(host, label, words[(i + j) % len(words)])
+            for i, word in enumerate(words):
+                add(plain_name(1000 + 10 * n + i), label, word)
+                add(plain_name(2000 + 10 * n + i), label, f"{word}-{words[i - 1]}")
+    for i in range(500):
+        add(plain_name(3000 + i), "allow")
+    return rows
+
+
+LABELLED = labelled_urls()
+
+_DIGITS = re.compile("[0-9]+")
 PLACES = 1 << 14
 GRAMS = (3, 4, 5)
-STEPS, RATE, PENALTY = 400, 2.0, 1e-3
+STEPS, RATE, PENALTY = 400, 2.0, 3e-5
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -77,7 +128,8 @@ def best_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def places(kind: str, text: str) -> np.ndarray:
-    marked = f"^{text}$"
+    """Hashed places of all n-grams; a run of digits counts as one 0, since numbers tell nothing."""
+    marked = f"^{_DIGITS.sub('0', text)}$"
     return np.array([zlib.crc32(f"{kind}{marked[i : i + n]}".encode()) % PLACES for n in GRAMS for i in range(len(marked) - n + 1)], dtype=np.int64)
 
 
@@ -101,25 +153,29 @@ class Classifier:
         return float(self.weights[p].sum() / np.sqrt(len(p))) if len(p) else 0.0
 
 
-def train(blocked: list[str] = BLOCKED, allowed: list[str] = ALLOWED) -> Classifier:
-    urls = [(u, 1.0) for u in blocked] + [(u, -1.0) for u in allowed]
-    found = [[(int(p), 1 / np.sqrt(len(ps))) for kind, text in zip("hp", split_url(u), strict=True) for ps in [places(kind, text)] for p in ps] for u, _ in urls]
-    used = sorted({p for row in found for p, _ in row})
-    at = {p: i for i, p in enumerate(used)}
-    x = np.zeros((len(urls), len(used)))
-    for row, items in zip(x, found, strict=True):
-        for p, value in items:
-            row[at[p]] += value
+def train(labelled: list[tuple[str, str]] | None = None) -> Classifier:
+    """Fit on ``(url, block or allow)`` rows; the table is small (it is laid out on the driver)."""
+    urls = [(u, 1.0 if label == "block" else -1.0) for u, label in (LABELLED if labelled is None else labelled)]
+    rows, columns, values = [], [], []
+    for i, (u, _) in enumerate(urls):
+        for kind, text in zip("hp", split_url(u), strict=True):
+            if len(p := places(kind, text)):
+                rows.append(np.full(len(p), i))
+                columns.append(p)
+                values.append(np.full(len(p), 1 / np.sqrt(len(p))))
+    weights, bias = np.zeros(PLACES), 0.0
+    if not rows:
+        return Classifier(weights, bias)
+    row, column, value = map(np.concatenate, (rows, columns, values))
     y = np.array([v for _, v in urls])
-    # the weights are a combination of the rows, so descent runs on one number for each row
-    gram, c, bias = x @ x.T, np.zeros(len(urls)), 0.0
-    for _ in range(STEPS):
-        slope = -y / (1 + np.exp(y * (gram @ c + bias))) / len(y)
-        c -= RATE * (slope + PENALTY * c)
-        bias -= RATE * slope.sum()
-    weights = np.zeros(PLACES)
-    weights[used] = x.T @ c
-    return Classifier(weights, bias)
+    now = ahead = np.zeros(PLACES + 1)
+    for step in range(STEPS):  # accelerated descent; the last number is the bias, which is not penalised
+        margin = np.bincount(row, ahead[column] * value, len(y)) + ahead[-1]
+        slope = -y / (1 + np.exp(np.clip(y * margin, -30, 30))) / len(y)
+        gradient = np.append(np.bincount(column, slope[row] * value, PLACES) + PENALTY * ahead[:-1], slope.sum())
+        after = ahead - RATE * gradient
+        ahead, now = after + step / (step + 3) * (after - now), after
+    return Classifier(now[:-1], float(now[-1]))
 
 
 def judge(pages: DataFrame, rules=RULES, model: Classifier | None = None, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -134,7 +190,7 @@ def judge(pages: DataFrame, rules=RULES, model: Classifier | None = None, key: s
 
     def run(batches):
         # hosts and paths repeat; both memos are bounded
-        memos = [Memo(lambda s, k=k: model.part(k, s), 50_000) for k in "hp"]
+        memos = [Memo(lambda s, k=k: model.part(k, s), 8 << 20) for k in "hp"]
         for batch in batches:
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             scores = [memos[0][h] + memos[1][p] + model.bias if h else -abs(model.bias) - 1.0 for h, p in zip(hosts, paths, strict=True)]

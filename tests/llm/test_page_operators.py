@@ -31,6 +31,86 @@ def test_html_leaves_chrome_out():
     assert htmltext.main_text(PAGE) == "Title\nFirst para, with words, and \u00e9tudes that are long enough to score.\nSecond link para is here with more words, so that it scores."
 
 
+STORY = "This paragraph of the story is long enough to be scored, with commas, and words."
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<article><p>{STORY}</p><svg/><p>After</p></article>", f"{STORY}\nAfter"),
+        (f"<article><p>An <svg viewBox='0'><path d='x'/><title>t</title><text>no</text></svg>icon</p><svg><g><p>{STORY}</p></article>", f"An icon\n{STORY}"),
+        (f"<article><p>x <math><mi>a</mi><annotation-xml><p>no</p></annotation-xml></math>y</p><p>{STORY}</p></article>", f"x y\n{STORY}"),
+        (f"<article><p>Use <button>Press</button>\nto go <select><option>a<option>b</select>on</p><p>{STORY}</p></article>", f"Use to go on\n{STORY}"),
+        (f"<article><p class='search-result'>{STORY}</p><p class=share>{STORY}</p><p class=ad>{STORY}</p></article>", f"{STORY}\n{STORY}"),
+        (f"<body><div id=w><div><p>{STORY} {STORY}</p><p>{STORY}</p></div><h2>Second</h2><div><p>{STORY}</p></div><div>short</div><div><p>{STORY}</p></div><ul><li><a href=x>menu item</a></ul></div></body>", f"{STORY} {STORY}\n{STORY}\nSecond\n{STORY}\nshort\n{STORY}"),
+        (f"<div><h1>Head</h1><div><p>{STORY}</p></div><div><p>{STORY}</p></div></div>", f"Head\n{STORY}\n{STORY}"),
+        (f"<article><p>{STORY}</p><ul><li><a href=x>a reference</a></ul></article>", f"{STORY}\na reference"),
+        (f"<div><p>{STORY}</p></div><div><div><p>{STORY}</p></div></div>", f"{STORY}\n{STORY}"),
+    ],
+)
+def test_html_keeps_the_story(html, text):
+    assert htmltext.main_text(html) == text
+
+
+def test_html_scores_equal_brute_force():
+    """Points and link shares of random trees, added up block by block over all ancestors."""
+    import random
+
+    rng = random.Random(11)
+    words = "one two, three four five six seven eight nine ten".split()
+    for _ in range(200):
+        tree, want = [], []
+
+        def grow(depth, html):
+            html.append("<div>")
+            for _ in range(rng.randrange(1, 4)):
+                if depth < 9 and rng.random() < 0.5:
+                    grow(depth + 1, html)
+                else:
+                    text, link = " ".join(rng.choices(words, k=rng.randrange(1, 30))), " ".join(rng.choices(words, k=rng.randrange(0, 9)))
+                    html.append(f"<p>{text} <a href=x>{link}</a></p>" if link else f"<p>{text}</p>")
+            html.append("</div>")
+
+        grow(0, tree)
+        page = htmltext.Page("".join(tree))
+        score, _ = page.scores(page.blocks)
+        n = len(page.tags)
+        for e in range(n):
+            points = chars = links = 0.0
+            for owner, text, linked in page.blocks:
+                path = [owner]
+                while page.parents[path[-1]] >= 0:
+                    path.append(page.parents[path[-1]])
+                if e in path:
+                    chars, links = chars + len(text), links + linked
+                    level = path.index(e) - 1  # a paragraph gives its points to the element around it first
+                    if 0 <= level < 5 and len(text) >= 25:
+                        points += (1 + text.count(",") + min(len(text) / 100, 3)) / [1, 2, 6, 9, 12][level]
+            want.append(points * (1 - links / chars) if chars else 0.0)
+        assert score == pytest.approx(want)
+        text = page.main_text()
+        best = max(range(n), key=lambda e: want[e])
+        below = [e for e in range(n) if e == best or any(x == best for x in ancestors(page, e))]
+        assert all(t in text.split("\n") for owner, t, _ in page.blocks if owner in below and (want[best] > 0))
+
+
+def ancestors(page, e):
+    while (e := page.parents[e]) >= 0:
+        yield e
+
+
+def test_html_is_linear_in_depth():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        assert htmltext.main_text("<div><p>words that go on, and on, and on.</span>" * n).count("\n") == n - 1
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(32_000) < 40 * max(seconds(2000), 0.02)
+
+
 @pytest.mark.parametrize(
     "html, text",
     [
@@ -69,13 +149,54 @@ def test_url_query(spark, sf):
         score = model.part("h", host) + model.part("p", path) + model.bias
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule[1] + rule[2])
         assert r["verdict"] == (rule[0] if rule else "block" if score > 0 else "allow")
-    judged = [r for r in got if r["rule"] is None]
+
+
+#: Hosts that the labelled table lacks, with the verdict a reader would give.
+HELD_OUT = """
+block http://pokerstars-fan.net/bonus http://bestviagra.org/ http://hotsexcams.com/live http://betking.co.uk/odds http://fastloans4u.com/apply
+block http://trackpixel.net/imp.gif http://mywarez.org/photoshop-crack http://secure-login-verify.com/account http://jackpotcity.com/ http://onlinepharmacy24.com/no-prescription
+block http://m.lucky-casino.eu/en/12 https://xxxmovies.tv/watch/4 https://torrentking.to/file/9 http://ads.network7.com/adclick http://seo-backlinks-pro.biz/ http://harborlight.com/free-spins
+allow http://bbc.co.uk/news/123 http://en.wikipedia.org/wiki/Spark http://stanford.edu/courses http://nytimes.com/2020/world http://github.com/apache/spark http://nasa.gov/maps
+allow http://metmuseum.org/collections http://bahn.de/timetable http://allrecipes.com/soups http://python.org/docs http://example.com/ http://smithandsons.com/contact http://kew.org/plants
+allow https://www.zoo.cz/en/77 http://harborlight.com/menu https://blog.mistral.fr/2020/4 http://nobelprize.org/about http://quiltersguild.org.uk/threads
+"""
+
+
+def test_url_model_on_held_out_hosts():
+    model = urlfilter.train()
+    rows = [(line.split()[0], u) for line in HELD_OUT.strip().splitlines() for u in line.split()[1:]]
+    known = {urlfilter.split_url(u)[0] for u, _ in urlfilter.LABELLED}
+    assert not known & {urlfilter.split_url(u)[0] for _, u in rows}
+    blocks = lambda u: model.part("h", urlfilter.split_url(u)[0]) + model.part("p", urlfilter.split_url(u)[1]) + model.bias > 0
+    hits = sum(blocks(u) for label, u in rows if label == "block")
+    false = sum(blocks(u) for label, u in rows if label == "allow")
+    wanted = sum(label == "block" for label, _ in rows)
+    assert hits >= 0.8 * wanted and hits >= 0.8 * (hits + false)
+    # the path counts too
+    assert blocks("http://harborlight.com/free-spins/jackpot") and not blocks("http://harborlight.com/menu")
+
+
+def test_url_model_on_the_pages(spark):
+    """The bad hosts of the pages are in no training row."""
     names = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track")
-    assert all((r["verdict"] == "block") == any(n in r["host"] for n in names) for r in judged)
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    got = [r for r in urlfilter.judge(pages, rules=()).collect() if r["host"]]
+    labels = {tuple(urlfilter.split_url(u)[0].split(".")) for u, _ in urlfilter.LABELLED}
+    assert not any(n in part for parts in labels for part in parts for n in names)
+    blocked = [r for r in got if r["verdict"] == "block"]
+    bad = [r for r in got if any(n in r["host"] for n in names)]
+    right = sum(r in bad for r in blocked)
+    assert right >= 0.95 * len(blocked) and right >= 0.6 * len(bad)
+
+
+def test_url_model_learns_any_table():
+    model = urlfilter.train([("http://aaa.com/x", "block"), ("http://bbb.com/x", "allow")] * 3)
+    assert model.part("h", "aaa.com") + model.bias > 0 > model.part("h", "bbb.com") + model.bias
+    assert urlfilter.train([]).bias == 0.0
 
 
 def test_url_edges(spark):
-    urls = [None, "", "no scheme", "HTTPS://A.Example.ORG/es/x?y", "http://?q#f", "http://x.org#a/b", "http://casino-win.net\n/p", "http://a://b/c", "http://\u0130X.com/fr/"]
+    urls = [None, "", "no scheme", "HTTPS://A.Example.ORG/es/x?y", "http://?q#f", "http://x.org#a/b", "http://casino-royale.net\n/p", "http://a://b/c", "http://\u0130X.com/fr/"]
     rows = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = {r["page_id"]: r for r in urlfilter.judge(rows).collect()}
     for i, u in enumerate(urls):
@@ -84,15 +205,77 @@ def test_url_edges(spark):
     assert urlfilter.judge(rows.where("false")).count() == 0 and urlfilter.judge(rows, rules=()).where("rule is not null").count() == 0
 
 
+def plain_boxes(data: bytes, start: int, end: int) -> list:
+    """``(kind, content start, content end, children)`` by recursion, for files of the writer."""
+    out = []
+    while start < end:
+        size, kind = int.from_bytes(data[start : start + 4], "big"), data[start + 4 : start + 8]
+        nested = kind in (b"moov", b"trak", b"mdia", b"minf", b"stbl")
+        out.append((kind, start + 8, start + size, plain_boxes(data, start + 8, start + size) if nested else []))
+        start += size
+    return out
+
+
+def plain_read(data: bytes) -> dict:
+    """What a container says, by its boxes alone: samples one by one through the chunk tables."""
+    boxes, todo = {}, plain_boxes(data, 0, len(data))
+    while todo:
+        kind, at, end, children = todo.pop()
+        boxes[kind] = data[at:end]
+        todo += children
+    numbers = lambda raw, at, n: [int.from_bytes(raw[at + 4 * i : at + 4 * i + 4], "big") for i in range(n)]
+    size, count = numbers(boxes[b"stsz"], 4, 2)
+    chunks = numbers(boxes[b"stco"], 8, numbers(boxes[b"stco"], 4, 1)[0])
+    runs = numbers(boxes[b"stsc"], 8, 3 * numbers(boxes[b"stsc"], 4, 1)[0])
+    ranges = []
+    for i, at in enumerate(chunks, 1):
+        for _ in range([n for first, n, _ in zip(runs[::3], runs[1::3], runs[2::3], strict=True) if first <= i][-1]):
+            ranges.append((at, at + size))
+            at += size
+    sync = numbers(boxes[b"stss"], 8, numbers(boxes[b"stss"], 4, 1)[0])
+    scale, duration = numbers(boxes[b"mdhd"], 12, 2)
+    width, height = (int.from_bytes(boxes[b"stsd"][i : i + 2], "big") for i in (40, 42))
+    assert len(ranges) == count
+    return {"payload": b"".join(data[a:b] for a, b in ranges), "feature": f"{boxes[b'stsd'][12:16].decode().strip()};{width}x{height};{scale};{duration};{count};" + ",".join("%d-%d" % ranges[i - 1] for i in sync)}
+
+
 def test_media_query(spark, sf):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in registry.op8_media(spark, sf).collect():
         raw = texts[r["doc_id"]].encode()
         content = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         stored = media.store(content)
+        plain = plain_read(stored)
+        assert plain["payload"] == content and r["feature"] == plain["feature"]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(content), hashlib.sha256(content).hexdigest(), zlib.crc32(content[-64:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
-        assert r["feature"].startswith("raw;8x8;25;")
+
+
+def test_media_index_takes_any_bytes(spark):
+    """Cut, flipped and built files: a row with fields or a row with an error, never a failure."""
+    import random
+
+    rng, good = random.Random(7), media.store(bytes(range(256)) * 20)
+    files = [good[:n] for n in range(0, len(good), 37)] + [good[:-n] for n in range(1, 700)]
+    moov = good.index(b"moov")
+    for _ in range(3000):
+        broken = bytearray(good)
+        for _ in range(rng.randrange(1, 4)):
+            broken[rng.randrange(moov - 4, len(good)) if rng.random() < 0.9 else rng.randrange(40)] = rng.choice([0, 1, 255, rng.randrange(256)])
+        files.append(bytes(broken))
+    empty_last = media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"mdhd"))))
+    deep = b""
+    for _ in range(3000):
+        deep = media.box(b"udta", deep)
+    files += [empty_last, media.box(b"moov", media.box(b"trak"), deep), media.box(b"moov", media.box(b"trak", media.box(b"hdlr"), media.box(b"stsd", bytes(6)), media.box(b"stsz", bytes(9))))]
+    for f in files:
+        row = media.index_row(f)
+        assert (row["error"] is None) == (row["codec"] is not None)
+        if row["error"] is None:
+            assert all(0 <= k["start"] <= k["end"] <= len(f) for k in row["keyframes"])
+    assert all(media.index_row(f)["error"] for f in files[-3:])
+    frame = spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files[::50])], "id long, media binary")
+    assert media.index(frame, "id", "media").count() == len(files[::50])
 
 
 def test_media_edges(spark, docs, none):
