@@ -81,37 +81,47 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def classes(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, fp, root, component_id`` for every row: its component's fingerprint that names it and smallest key."""
+def components(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(key, fp)`` of every row, ``(fp, root)`` of every fingerprint, ``(root, component_id)`` of every component.
+
+    ``root`` is the fingerprint that names a component, ``component_id`` its smallest key.
+    """
     rows = materialize(fingerprints(docs, key, text), "simhash")
     prints = rows.groupBy("fp").agg(F.min("key").alias("least"))
     roots = materialize(connected_components(links(prints.select("fp"), radius)), "simhash-roots")
     of_print = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = of_print.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(of_print.join(of_root, "root").select("fp", "root", "component_id"), "fp").select(F.col("key").alias(key), "fp", "root", "component_id")
+    return rows, of_print.select("fp", "root"), of_print.groupBy("root").agg(F.min("least").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, fp, component_id`` for every row: the smallest key reachable over links."""
-    return classes(docs, radius, key, text).select(key, "fp", "component_id")
+    rows, of_print, of_root = components(docs, radius, key, text)
+    return rows.join(of_print.join(of_root, "root"), "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def row_identity(docs: DataFrame) -> Column:
+    """A name of each row: no id last, then the id, then hashes of the whole row; equal rows share it."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+
+
 def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest ``doc_id``; rows without an id stay.
+    """``docs`` with one row of each component, and every row of another component stays.
 
-    Where an id has several rows, the component keeps its smallest (signed) fingerprint and
-    of that the least text, then the least of the other columns in their order.
+    Rows are told apart by all their columns (of hashable types), not by their id: kept is the row of
+    the smallest ``doc_id`` (none last), among those the one whose row hash is least; of equal rows one.
     """
-    rows = materialize(classes(docs, radius), "simhash-classes")
-    least = rows.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "root").agg(F.min("fp").alias("fp")).select("doc_id", "fp")
-    many = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = docs.join(least.join(many, "doc_id", "left_anti"), "doc_id", "left_semi").select(docs.columns)
-    # only rows that share an id are hashed again, each as a whole row
-    shared = docs.join(many, "doc_id", "left_semi").select(F.struct("text", *[c for c in docs.columns if c != "text"]).alias("row"), "text")
-    kept = fingerprints(shared, "row").select(F.col("key.doc_id").alias("doc_id"), "fp", "key").join(least, ["doc_id", "fp"], "left_semi")
-    one = kept.groupBy("doc_id", "fp").agg(F.min("key").alias("key")).select(*[F.col(f"key.{c}").alias(c) for c in docs.columns])
-    return once.unionByName(one).unionByName(docs.where(F.col("doc_id").isNull()))
+    name = row_identity(docs)
+    rows, of_print, of_root = components(docs.select(name.alias("row"), "text"), radius, "row")
+    kept = of_root.select(F.col("component_id").alias("__coterie_row"))
+    # a kept row that the table holds several times comes once
+    many = rows.groupBy(F.col("key").alias("__coterie_row")).agg(F.count("*").alias("n")).where("n > 1").select("__coterie_row")
+    kept = materialize(kept.join(many.withColumn("__coterie_many", F.lit(True)), "__coterie_row", "left"), "simhash-kept")
+    named = docs.withColumn("__coterie_row", name)
+    once = named.join(kept.where("__coterie_many is null"), "__coterie_row", "left_semi").select(docs.columns)
+    equal = named.join(kept.where("__coterie_many"), "__coterie_row", "left_semi").groupBy("__coterie_row").agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(equal.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
