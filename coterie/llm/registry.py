@@ -14,12 +14,10 @@ def remainder(modulus: int):
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, _ = secrets.scan(table(spark, sf_dir, "documents"))
-    none = F.array().cast(paths.schema["findings"].dataType)
-    found = F.coalesce("findings", none)
-    base = F.filter(found, lambda x: x["place"] < len(secrets.BASE))
-    count = lambda kind: F.size(F.filter(found, lambda x: secrets.kind(x) == kind)).cast("long")
-    return paths.select("doc_id", *[count(k).alias(f"n_{k}") for k in secrets.BASE], F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(found).alias("spans"))
+    paths = secrets.scan(table(spark, sf_dir, "documents"))
+    of = lambda kinds: F.filter("findings", lambda x: secrets.kind(x).isin(*kinds))
+    counts = [F.size(of([k])).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    return paths.select("doc_id", *counts, F.sha2(secrets.joined(of(secrets.BASE)), 256).alias("base_sha256"), secrets.joined(F.col("findings")).alias("spans"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

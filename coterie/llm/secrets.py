@@ -1,15 +1,21 @@
 """Secret scans over a ledger of content-addressed blobs.
 
 Every version of every document is addressed by the SHA-256 of its text.  A
-ledger row says which rule versions a blob was scanned with and what they found;
-``scan`` compares blobs with the ledger, scans only the unseen pairs of blob and
-rule version, and joins findings back to all rows (paths) that hold the blob.
+ledger row says which rule versions a blob was scanned with and what they found.
+``scan`` compares the blobs at hand with the ledger, scans only the unseen pairs
+of blob and rule version, appends them, and joins the ledger's findings back to
+all rows (paths) that hold the blob.  Without a ledger's path a new one is begun
+in the scratch folder.
 
-Spans are code points, end exclusive.  The first three rules are the base; a
-later rule adds spans and never removes any.
+Ledger rows name rules by kind and version, so rules may be added, changed or
+reordered.  Spans are code points, end exclusive.  The first three rules are the
+base; a later rule adds spans and never removes any.
 
 Defined results: a null text is the empty text and has no findings; equal texts
-share one blob, however many rows hold them; an empty table gives empty results.
+share one blob, however many rows hold them; spans that begin alike follow the
+order of the rules; an empty table gives empty results; other columns, whatever
+their names, are not touched.  A ledger row that was appended twice (by runs at
+the same time, or after a failure) counts once.
 """
 
 from __future__ import annotations
@@ -20,9 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coterie.llm.common import prepare, rows_in_slices, text_or_empty
+from coterie.llm.common import prepare, rows_in_slices, scratch_path, text_or_empty
 
-LEDGER = "blob string, rules array<string>, findings array<struct<start:int,place:int,end:int,rule:string>>"
+LEDGER = "blob string, rules array<string>, findings array<struct<start:int,end:int,rule:string>>"
+FINDINGS = "array<struct<start:int,place:int,end:int,rule:string>>"
+#: A session setting that names a lasting ledger for the queries.
+SETTING = "spark.coterie.ledger"
 
 #: Fixed values.  (kind, version, pattern, group whose length counts, least length); a failing match is dropped.
 RULES = (
@@ -68,7 +77,7 @@ def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
     """Ledger rows for ``blob, text, todo`` (the rule versions to run on that blob)."""
     prepare(blobs.sparkSession)
     places = {name: i for i, name in enumerate(rule_names(rules))}
-    item = pa.struct([("start", pa.int32()), ("place", pa.int32()), ("end", pa.int32()), ("rule", pa.string())])
+    item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("rule", pa.string())])
 
     def run(batches):
         for whole in batches:
@@ -76,48 +85,19 @@ def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
                 todo = batch.column(2).to_pylist()
                 found = []
                 for text, names in zip(batch.column(1).to_pylist(), todo, strict=True):
-                    wanted = {places[x] for x in names}
-                    found.append([dict(zip(("start", "place", "end", "rule"), x, strict=True)) for x in find(text, rules) if x[1] in wanted])
+                    wanted = tuple(rules[places[x]] for x in names)
+                    found.append([{"start": start, "end": end, "rule": rule} for start, _, end, rule in find(text, wanted)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(todo, pa.list_(pa.string())), pa.array(found, pa.list_(item))], ["blob", "rules", "findings"])
 
     return blobs.select("blob", "text", "todo").mapInArrow(run, LEDGER)
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(findings by path, new ledger rows)``.
-
-    The first has ``key, blob, findings`` for every row of ``docs``; append the
-    second to the ledger.  Only pairs of blob and rule version that ``ledger``
-    lacks are scanned.
-    """
-    versions = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).withColumn("blob", F.sha2("text", 256))
-    per_blob, new = blob_findings(blobs_of(versions), ledger, rules)
-    paths = versions.select("key", "blob").join(per_blob, "blob", "left").select(F.col("key").alias(key), "blob", "findings")
-    return paths, new
-
-
-def blobs_of(texts: DataFrame) -> DataFrame:
-    """``blob, text``: each distinct ``text`` once, copies collapsed before the shuffle."""
+def blobs_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``blob, text``: each distinct text once, copies collapsed before the shuffle."""
+    texts = docs.select(text_or_empty(text).alias("text"))
     return texts.select(F.sha2("text", 256).alias("blob"), "text").groupBy("blob").agg(F.first("text").alias("text"))
 
 
-def blob_findings(blobs: DataFrame, ledger: DataFrame | None, rules) -> tuple[DataFrame, DataFrame]:
-    """``blob, findings`` of all current rule versions, and the ledger rows that were missing."""
-    wanted = F.array(*map(F.lit, rule_names(rules)))
-    if ledger is None:
-        new = scan_blobs(blobs.withColumn("todo", wanted), rules)
-        return new.select("blob", "findings"), new
-    # one row for each blob; its arrays are bounded by the number of rule versions and of spans in one text
-    known = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"), F.array_distinct(F.flatten(F.collect_list("findings"))).alias("old"))
-    unseen = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
-    todo = blobs.join(known.select("blob", "seen"), "blob", "left").withColumn("todo", unseen).where(F.size("todo") > 0)
-    new = scan_blobs(todo, rules)
-    none = F.array().cast(new.schema["findings"].dataType)
-    current = F.filter("all", lambda x: F.array_contains(wanted, x["rule"]))
-    both = known.select("blob", "old").join(new.select("blob", "findings"), "blob", "full").select("blob", F.array_sort(F.concat(F.coalesce("old", none), F.coalesce("findings", none))).alias("all"))
-    return both.select("blob", current.alias("findings")), new
-
-
 def open_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     """The ledger table at ``path``, or None before the first scan."""
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -126,12 +106,41 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(LEDGER).parquet(path)
 
 
-def scan_and_record(docs: DataFrame, path: str, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scan against the ledger at ``path``, append what is new, return findings by path."""
+def unseen(blobs: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame:
+    """``blob, text, todo``: the blobs that lack a rule version in the ledger, and the rule versions that they lack."""
+    wanted = F.array(*map(F.lit, rule_names(rules)))
+    if ledger is None:
+        return blobs.select("blob", "text", wanted.alias("todo"))
+    # only the rows of blobs at hand; a blob has one row for each scan that found it unseen
+    known = ledger.select("blob", "rules").join(blobs.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))
+    lacks = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
+    return blobs.join(known, "blob", "left").select("blob", "text", lacks.alias("todo")).where(F.size("todo") > 0)
+
+
+def findings_of(ledger: DataFrame, rules=RULES) -> DataFrame:
+    """``blob, findings`` of the blobs in which a current rule version found something, in order."""
+    wanted = F.array(*map(F.lit, rule_names(rules)))
+    now = F.filter("findings", lambda x: F.array_contains(wanted, x["rule"]))
+    # equal ledger rows are one row; a blob's findings are bounded by its text
+    rows = ledger.select("blob", now.alias("findings")).where(F.size("findings") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("findings"))).alias("findings"))
+    placed = F.transform("findings", lambda x: F.struct(x["start"].alias("start"), (F.array_position(wanted, x["rule"]) - 1).cast("int").alias("place"), x["end"].alias("end"), x["rule"].alias("rule")))
+    return rows.select("blob", F.array_sort(placed).alias("findings"))
+
+
+def record(docs: DataFrame, path: str | None = None, rules=RULES, text: str = "text") -> DataFrame:
+    """Scan what the ledger at ``path`` lacks, append it, and return the ledger."""
     spark = docs.sparkSession
-    _, new = scan(docs, open_ledger(spark, path), rules, key, text)
-    new.write.mode("append").parquet(path)
-    return scan(docs, open_ledger(spark, path), rules, key, text)[0]
+    path = path or spark.conf.get(SETTING, None) or scratch_path(spark, "ledger")
+    scan_blobs(unseen(blobs_of(docs, text), open_ledger(spark, path), rules), rules).write.mode("append").parquet(path)
+    return open_ledger(spark, path)
+
+
+def scan(docs: DataFrame, path: str | None = None, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, blob, findings`` for every row of ``docs``, by way of the ledger at ``path``."""
+    found = findings_of(record(docs, path, rules, text), rules)
+    paths = docs.select(F.col(key).alias("key"), F.sha2(text_or_empty(text), 256).alias("blob"))
+    none = F.array().cast(FINDINGS)
+    return paths.join(found, "blob", "left").select(F.col("key").alias(key), "blob", F.coalesce("findings", none).alias("findings"))
 
 
 def kind(finding: Column) -> Column:
@@ -154,13 +163,12 @@ def cut_out(text: Column, findings: Column, mark: str) -> Column:
     return F.aggregate(findings, start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text))))
 
 
-def redact(docs: DataFrame, ledger: DataFrame | None = None, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, path: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mark``; ``n_chars`` follows, other columns stay.
 
-    Blobs are scanned as in ``scan``; their findings come back to all rows that hold them.
+    Blobs are scanned by way of the ledger, as in ``scan``.
     """
-    per_blob, _ = blob_findings(blobs_of(docs.select(text_or_empty().alias("text"))), ledger, RULES)
-    dirty = per_blob.where(F.size("findings") > 0).withColumnsRenamed({"blob": "__coterie_blob", "findings": "__coterie_found"})
+    dirty = findings_of(record(docs, path)).withColumnsRenamed({"blob": "__coterie_blob", "findings": "__coterie_found"})
     out = docs.withColumn("__coterie_blob", F.sha2(text_or_empty(), 256)).join(dirty, "__coterie_blob", "left")
     out = out.withColumn("__coterie_clean", F.when(F.col("__coterie_found").isNotNull(), cut_out(F.col("text"), F.col("__coterie_found"), mark)))
     clean = F.col("__coterie_clean")

@@ -60,24 +60,43 @@ def test_short_values_consume_their_match():
     assert secrets.find("\u212aey api\u212aey=abcdefgh") == []
 
 
+def ledger_rows(spark, path):
+    return [(r["blob"], tuple(r["rules"])) for r in secrets.open_ledger(spark, path).collect()]
+
+
 def test_ledger_scans_only_unseen_pairs(spark, docs, none):
-    old = docs.where("doc_id < 9")
-    paths, first = secrets.scan(old)
-    first = spark.createDataFrame(first.collect(), first.schema)
-    assert first.count() == old.select("text").na.fill("").distinct().count()
-    again, new = secrets.scan(docs, first)
-    assert {r["blob"] for r in new.collect()}.isdisjoint({r["blob"] for r in first.collect()})
-    fresh = sorted(map(str, secrets.scan(docs)[0].collect()))
+    path, old = scratch_path(spark, "ledger"), docs.where("doc_id < 9")
+    blobs = lambda df: {sha(r["text"] or "") for r in df.collect()}
+    first = secrets.scan(old, path)
+    assert first.count() == old.count() and sorted(b for b, _ in ledger_rows(spark, path)) == sorted(blobs(old))
+    again = secrets.scan(docs, path)
+    assert sorted(b for b, _ in ledger_rows(spark, path)) == sorted(blobs(docs))  # each blob scanned once, in either run
+    fresh = sorted(map(str, secrets.scan(docs).collect()))
     assert sorted(map(str, again.collect())) == fresh
-    rules = tuple((k, v + (k == "hex"), *rest) for k, v, *rest in secrets.RULES)
-    _, newer = secrets.scan(old, first, rules)
-    assert all(r["rules"] == ["hex@2"] for r in newer.collect()) and newer.count() == first.count()
-    assert secrets.scan(none)[0].count() == 0 and paths.count() == old.count()
+    # a changed rule, and rules in another order: only the new pairs are scanned, and order follows the rules at hand
+    rules = tuple((k, v + (k == "hex"), *rest) for k, v, *rest in secrets.RULES[:3]) + secrets.RULES[3:][::-1]
+    before = len(ledger_rows(spark, path))
+    newer = {r["key"]: r["findings"] for r in secrets.scan(docs, path, rules, key="key").collect()}
+    added = ledger_rows(spark, path)
+    assert len(added) == 2 * before and sum(r == ("hex@2",) for _, r in added) == before
+    want = {r["key"]: r["findings"] for r in secrets.scan(docs, None, rules, key="key").collect()}
+    assert newer == want and any(want.values())
+    # rows that two runs append are counted once
+    secrets.open_ledger(spark, path).write.mode("append").parquet(path + "-twice")
+    secrets.open_ledger(spark, path).write.mode("append").parquet(path + "-twice")
+    assert {r["key"]: r["findings"] for r in secrets.scan(docs, path + "-twice", rules, key="key").collect()} == want
+    assert secrets.scan(none).count() == 0
+
+
+def test_secret_query_goes_through_a_lasting_ledger(spark, sf, sample):
     path = scratch_path(spark, "ledger")
-    secrets.scan_and_record(old, path)
-    found = secrets.scan_and_record(docs, path)
-    assert sorted(map(str, found.collect())) == fresh
-    assert secrets.open_ledger(spark, path).groupBy("blob").count().where("count > 1").count() == 0
+    spark.conf.set(secrets.SETTING, path)
+    try:
+        runs = [sorted(registry.op1_secret_scan(spark, sf).collect()) for _ in range(2)]
+    finally:
+        spark.conf.unset(secrets.SETTING)
+    assert runs[0] == runs[1]
+    assert sorted(b for b, _ in ledger_rows(spark, path)) == sorted({sha(r["text"] or "") for r in sample})  # the second run scanned nothing
 
 
 def test_redaction_leaves_no_secret(docs):
@@ -120,8 +139,27 @@ def test_encoding_of_random_strings(library):
 def test_both_merge_paths_agree():
     c, rng = bpe.Codec(bpe.default_vocabulary()), random.Random(2)
     words = [bytes(rng.choice(b"etaoin shr\xc3\xa9") for _ in range(rng.randrange(1, 64))) for _ in range(500)]
-    for w, packed in zip(words, c.merge_all(words), strict=True):
-        assert np.frombuffer(packed, "<i4").tolist() == c.merge_long(w)
+    ids, counts = c.merge_all(words)
+    for w, end, n in zip(words, np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+        assert ids[end - n : end].tolist() == c.merge_long(w)
+
+
+def test_encoder_memory_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(bpe, "SLOTS", 1 << 12)
+    monkeypatch.setattr(bpe, "POOL", 1 << 13)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 1 << 14)
+    monkeypatch.setattr(bpe, "SLICE", 1 << 12)
+    c, rng = bpe.Codec(bpe.default_vocabulary()), random.Random(6)
+    word = lambda most: "".join(rng.choice("etaoinshrdlu\u00e9\u6f22,") for _ in range(rng.randrange(1, most)))
+    for _ in range(60):
+        texts = [rng.choice(["", " ", "\n"]).join([" ".join(word(60 if rng.random() < 0.1 else 8) for _ in range(rng.randrange(300)))] * 2) for _ in range(4)]
+        texts.append("x" * rng.randrange(5000))  # a piece of its own, longer than a slice
+        for t, packed in zip(texts, c.encode_all(texts), strict=True):
+            assert np.frombuffer(packed, "<i4").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert c.held <= bpe.SLOTS // 2 and c.long.bytes <= bpe.MEMO_BYTES and len(c.long.old) * c.long.ENTRY <= bpe.MEMO_BYTES
+        assert all(len(p) <= c.long.LONGEST for p in c.long)
+    c.encode_all(["a b"] * 10)
+    assert len(c.pool) <= bpe.POOL
 
 
 def test_bpe_query_and_decode(spark, sf, library, sample, docs, none):
@@ -161,16 +199,28 @@ def test_simhash_links_chains_and_edges(spark, docs, none):
     by_id = {r["doc_id"]: r for r in out}
     assert len(out) == docs.count() and by_id[2]["component_id"] == 0 == by_id[1]["component_id"] and by_id[5]["component_id"] == 3 and by_id[4]["fp"] == 0
     assert simhash.near_duplicates(none).count() == 0
-    kept = [r["doc_id"] for r in simhash.deduplicate(docs).collect()]
-    assert sorted(x for x in kept if x is not None) == sorted({r["component_id"] for r in out if r["doc_id"] is not None}) and kept.count(None) == 1
+    assert len(simhash.deduplicate(docs).collect()) == len({r["component_id"] if r["doc_id"] is not None else None for r in out} - {None}) + 1
 
 
-def test_dedup_keeps_one_row_of_each_component_of_a_shared_id(spark):
+def test_dedup_keeps_one_row_of_each_component(spark):
     near, own = "the quick brown fox jumps over the lazy dog", "seven green bottles stand on one long and very old wall"
-    rows = [(1, near, "a"), (2, near, "b"), (2, own, "c"), (3, near, "d"), (4, own, "e"), (5, "alpha beta gamma delta", "f"), (5, "one two three four five", "h"), (5, "one two three four five", "g")]
-    for some in (rows, rows[::-1]):
-        got = simhash.deduplicate(spark.createDataFrame(some, "doc_id long, text string, source string")).collect()
-        assert sorted((r["doc_id"], r["source"]) for r in got) == [(1, "a"), (2, "c"), (5, "f"), (5, "g")]
+    some = [(1, near, "a"), (1, own, "b"), (2, near, "c"), (3, own, "d"), (4, "alpha beta gamma", None), (4, "alpha beta gamma", None), (None, "alpha beta gamma", "n"), (None, "only rows without an id say this", "n"), (None, "only rows without an id say this", "n"), (5, None, "e"), (6, "", "f"), (None, None, None)]
+    results = []
+    for rows in (some, some[::-1]):
+        results.append(sorted(map(tuple, simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()), key=str))
+    assert results[0] == results[1] == sorted([(1, near, "a"), (1, own, "b"), (4, "alpha beta gamma", None), (None, "only rows without an id say this", "n"), (5, None, "e")], key=str)
+
+
+def test_dedup_of_many_rows_of_few_ids_equals_brute_force(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(6)) for _ in range(25)]
+    rows = [(rng.choice([None, 1, 2, 3, 4, 5]), rng.choice(texts), rng.randrange(3)) for _ in range(150)]
+    components = brute_components(dict(enumerate(plain_fingerprint(t) for t in texts)))
+    of = {t: components[i] for i, t in enumerate(texts)}
+    kept = [tuple(r) for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()]
+    assert sorted(of[t] for _, t, _ in kept) == sorted({of[t] for _, t, _ in rows})
+    for i, t, n in kept:
+        assert (i, t, n) in rows and i == min((j for j, u, _ in rows if of[u] == of[t] and j is not None), default=None)
 
 
 # Kneser-Ney
