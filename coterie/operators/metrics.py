@@ -30,22 +30,37 @@ def pairs(x: Column) -> Column:
     return x * (x - 1) / 2
 
 
+#: Overlaps of two marginal sizes that one row sums.
+BLOCK = 4096
+
+
 def expected_mutual_information(cells: DataFrame) -> DataFrame:
     """One row ``emi``: exact under the hypergeometric model.
 
     A term depends on two marginal sizes only, so equal sizes are counted first:
-    there are at most ``sqrt(2n)`` distinct ones on either side.
+    there are at most ``sqrt(2n)`` distinct ones on either side.  The possible
+    overlaps of two sizes are cut into blocks, which are dealt to all tasks and
+    summed inside a row.
     """
     rows, columns = marginals(cells)
     a = rows.groupBy("ai").agg(F.count("*").alias("ca"))
     b = columns.groupBy("bj").agg(F.count("*").alias("cb"))
     n = rows.agg(F.sum("ai").alias("n"))
-    x, ai, bj, total = (F.col(c).cast("double") for c in ("x", "ai", "bj", "n"))
+    ai, bj, total = (F.col(c).cast("double") for c in ("ai", "bj", "n"))
     low = F.greatest(F.lit(1), F.col("ai") + F.col("bj") - F.col("n"))
-    terms = a.crossJoin(b).crossJoin(F.broadcast(n)).select("ai", "ca", "bj", "cb", "n", F.explode(F.sequence(low, F.least("ai", "bj"))).alias("x"))
     lf = ln_factorial
-    weight = F.exp(lf(ai) + lf(bj) + lf(total - ai) + lf(total - bj) - lf(total) - lf(x) - lf(ai - x) - lf(bj - x) - lf(total - ai - bj + x))
-    return terms.agg(F.coalesce(F.sum(F.col("ca") * F.col("cb") * (x / total) * F.log(total * x / (ai * bj)) * weight), F.lit(0.0)).alias("emi"))
+    fixed = lf(ai) + lf(bj) + lf(total - ai) + lf(total - bj) - lf(total)
+    sizes = a.crossJoin(b).crossJoin(F.broadcast(n))
+    blocks = sizes.select("ai", "ca", "bj", "cb", "n", fixed.alias("fixed"), F.explode(F.sequence(low, F.least("ai", "bj"), F.lit(BLOCK))).alias("first"))
+    blocks = blocks.repartition(F.xxhash64("ai", "bj", "first"))
+
+    def term(sum_: Column, x_: Column) -> Column:
+        x = x_.cast("double")
+        weight = F.exp(F.col("fixed") - lf(x) - lf(ai - x) - lf(bj - x) - lf(total - ai - bj + x))
+        return sum_ + (x / total) * F.log(total * x / (ai * bj)) * weight
+
+    overlaps = F.sequence(F.col("first"), F.least(F.col("ai"), F.col("bj"), F.col("first") + (BLOCK - 1)))
+    return blocks.agg(F.coalesce(F.sum(F.col("ca") * F.col("cb") * F.aggregate(overlaps, F.lit(0.0), term)), F.lit(0.0)).alias("emi"))
 
 
 def all_metrics(p: DataFrame, g: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ def community_stats(pop: DataFrame, graph: Graph) -> DataFrame:
 def objectives(pop: DataFrame, graph: Graph) -> DataFrame:
     """``ind, n, k, intra, inter, kkm, rc, q``; intra and inter are 0 without edges.
 
+    ``m`` counts the edges of the whole graph, also where a partition covers a part of its nodes only.
     ``intra = 1 - sum internal / m``, ``inter = sum (degsum / 2m)^2``,
     ``q = 1 - intra - inter`` (0 without edges), ``kkm = 2 (n - k) - sum 2 internal / size``,
     ``rc = sum (degsum - 2 internal) / size``.
@@ -32,15 +33,14 @@ def objectives(pop: DataFrame, graph: Graph) -> DataFrame:
         F.sum("size").alias("n"),
         F.count("*").alias("k"),
         F.sum("internal").alias("inside"),
-        F.sum("degsum").alias("total"),
         F.sum(F.pow(F.col("degsum").cast("double"), 2)).alias("squares"),
         F.sum(2 * F.col("internal") / F.col("size")).alias("density"),
         F.sum((F.col("degsum") - 2 * F.col("internal")) / F.col("size")).alias("rc"),
     )
-    some = F.col("total") > 0
-    # every edge has both ends in the population, so the degrees sum to 2m
-    intra = F.when(some, 1 - 2 * F.col("inside") / F.col("total")).otherwise(0.0)
-    inter = F.when(some, F.col("squares") / F.pow(F.col("total").cast("double"), 2)).otherwise(0.0)
+    sums = sums.crossJoin(F.broadcast(graph.edges.agg(F.count("*").alias("m"))))  # one row
+    some = F.col("m") > 0
+    intra = F.when(some, 1 - F.col("inside") / F.col("m")).otherwise(0.0)
+    inter = F.when(some, F.col("squares") / F.pow(2.0 * F.col("m"), 2)).otherwise(0.0)
     return sums.select("ind", "n", "k", intra.alias("intra"), inter.alias("inter"), (2.0 * (F.col("n") - F.col("k")) - F.col("density")).alias("kkm"), F.col("rc"), F.when(some, 1 - intra - inter).otherwise(0.0).alias("q"))
 
 

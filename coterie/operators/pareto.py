@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from itertools import combinations
 
 import numpy as np
@@ -33,16 +34,20 @@ def local_front(f: np.ndarray) -> np.ndarray:
 def rank_one(objs: DataFrame) -> DataFrame:
     """The rows that no row dominates.
 
-    Each partition first keeps its own front, then the survivors' distinct
-    vectors are compared with each other: what a vector dominates in its
-    partition never meets the others.
+    Each partition first keeps its own front, batch by batch, then the
+    survivors' distinct vectors are compared with each other: what a vector
+    dominates in its partition never meets the others.  The join's size is the
+    fronts', not the table's; two objectives are better served by ``rank_one_of_two``.
     """
 
     def locally(batches):
-        parts = [b for b in batches if len(b)]
-        if parts:
-            frame = pd.concat(parts)
-            yield frame[local_front(np.array(frame["f"].tolist(), float))]
+        held = None
+        for batch in batches:
+            if len(batch):
+                held = batch if held is None else pd.concat([held, batch])
+                held = held[local_front(np.array(held["f"].tolist(), float))]
+        if held is not None:
+            yield held
 
     near = objs.mapInPandas(locally, objs.schema)
     vectors = near.select("f").distinct()
@@ -50,23 +55,107 @@ def rank_one(objs: DataFrame) -> DataFrame:
     return near.join(front, "f").select(objs.columns)
 
 
+def rank_one_of_two(objs: DataFrame) -> DataFrame:
+    """``rank_one`` of two objectives by a sorted sweep, without comparing vectors in pairs.
+
+    A vector is on the front if its second objective is below that of all vectors of a smaller first
+    one and no larger than that of its equals.  Vectors are collapsed and sorted into ranges; each
+    range needs the least second objective of the ranges before it, one number each.
+    """
+    from coterie.scratch import materialize
+
+    # of each first objective only the least second one can be on the front
+    least = objs.groupBy(F.col("f")[0].alias("x")).agg(F.min(F.col("f")[1]).alias("y"))
+    sorted_ = materialize(least.sort("x").withColumn("part", F.spark_partition_id()), "front")
+    below, seen = [], float("inf")
+    for r in sorted(sorted_.groupBy("part").agg(F.min("y").alias("low")).collect()):  # a row for each range
+        below.append((r["part"], seen))
+        seen = min(seen, r["low"])
+    before = F.broadcast(objs.sparkSession.createDataFrame(below, "part int, below double"))
+    running = F.min("y").over(Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
+    front = sorted_.withColumn("low", running).join(before, "part").where(F.col("y") < F.least(F.coalesce("low", F.lit(float("inf"))), "below")).select("x", "y")
+    return objs.join(front, (F.col("f")[0] == F.col("x")) & (F.col("f")[1] == F.col("y")), "left_semi")
+
+
 def ranks(f: np.ndarray) -> np.ndarray:
-    """Front number of every row, from 1, by peeling."""
-    n = len(f)
-    worse = (f[:, None, :] >= f[None, :, :]).all(axis=2) & (f[:, None, :] > f[None, :, :]).any(axis=2)  # [i, j]: j dominates i
-    out, left, number = np.zeros(n, int), np.ones(n, bool), 0
-    while left.any():
-        number += 1
-        front = left & ~(worse & left[None, :]).any(axis=1)
-        out[front] = number
-        left &= ~front
+    """Front number of every row, from 1."""
+    return sweep_ranks(f) if f.ndim == 2 and f.shape[1] == 2 else front_ranks(f)
+
+
+def sweep_ranks(f: np.ndarray) -> np.ndarray:
+    """Fronts of two objectives in O(n log n).
+
+    In order of the first objective, a vector's front is the first one whose latest second objective lies
+    above its own; those values increase from front to front, so a binary search finds it.
+    """
+    out = np.zeros(len(f), int)
+    if not len(f):
+        return out
+    vectors, back = np.unique(f, axis=0, return_inverse=True)  # sorted by the first, then the second objective
+    latest: list[float] = []
+    rank = np.empty(len(vectors), int)
+    for i, y in enumerate(vectors[:, 1].tolist()):
+        at = bisect_right(latest, y)
+        latest[at : at + 1] = [y]
+        rank[i] = at + 1
+    out[:] = rank[back.reshape(-1)]
     return out
 
 
-def non_dominated_sort(objs: DataFrame) -> DataFrame:
-    """``ind, f, rank``: every row's front, peeled one after another; meant for few fronts."""
+def front_ranks(f: np.ndarray) -> np.ndarray:
+    """Fronts of any number of objectives; memory follows the rows, not their pairs.
+
+    In sorted order nothing dominates what came before it, and a vector's front is the first one that
+    does not dominate it; fronts are searched by halves, as each dominates what the next one does.
+    """
+    out = np.zeros(len(f), int)
+    if not len(f):
+        return out
+    vectors, back = np.unique(f, axis=0, return_inverse=True)
+    fronts: list[np.ndarray] = []
+    sizes: list[int] = []
+    rank = np.empty(len(vectors), int)
+    for i, v in enumerate(vectors):
+        low, high = 0, len(fronts)
+        while low < high:
+            middle = (low + high) // 2
+            if (fronts[middle][: sizes[middle]] <= v).all(axis=1).any():  # distinct, so somewhere better
+                low = middle + 1
+            else:
+                high = middle
+        if low == len(fronts):
+            fronts.append(np.empty((4, f.shape[1])))
+            sizes.append(0)
+        if sizes[low] == len(fronts[low]):
+            fronts[low] = np.concatenate([fronts[low], np.empty_like(fronts[low])])
+        fronts[low][sizes[low]] = v
+        sizes[low] += 1
+        rank[i] = low + 1
+    out[:] = rank[back.reshape(-1)]
+    return out
+
+
+#: Distinct vectors that one task ranks; above, fronts are peeled by jobs.  The ranks are the same.
+MOST_VECTORS = 200_000
+
+
+def non_dominated_sort(objs: DataFrame, most_vectors: int = MOST_VECTORS) -> DataFrame:
+    """``ind, f, rank``: every row's front.
+
+    A population's distinct vectors are ranked in one task; more than ``most_vectors`` are peeled front by front.
+    """
     from coterie.scratch import materialize
 
+    vectors = materialize(objs.select("f").distinct(), "vectors")
+    if vectors.count() <= most_vectors:
+
+        def rank(batches):
+            frame = pd.concat([b for b in batches if len(b)] or [pd.DataFrame({"f": []})])
+            if len(frame):
+                yield pd.DataFrame({"f": frame["f"], "rank": ranks(np.array(frame["f"].tolist(), float)).astype("int32")})
+
+        ranked = vectors.coalesce(1).mapInPandas(rank, "f array<double>, rank int")
+        return objs.join(ranked, "f").select(*objs.columns, "rank")
     left, out, rank = materialize(objs, "front"), None, 0
     while not left.isEmpty():
         rank += 1
@@ -267,6 +356,38 @@ def select_label_free(front: DataFrame, columns: tuple[str, ...] = ("kkm", "rc",
     return select_min(front.crossJoin(F.broadcast(bounds)), sum((part(c) for c in columns[1:]), part(columns[0]))).select(*front.columns, "score")
 
 
+def scores_against(front: DataFrame, truth: DataFrame) -> DataFrame:
+    """``ind, nmi, ari`` of every partition of ``front(ind, node, label)`` over the nodes it shares with ``truth``.
+
+    Edges as in ``metrics``: NMI is 1 if both entropies are 0, ARI is 1 if its denominator vanishes and for one node.
+    """
+    cells = front.join(truth.select("node", F.col("community").alias("b")), "node").groupBy("ind", F.col("label").alias("a"), "b").agg(F.count("*").alias("nij"))
+    double = lambda c: F.col(c).cast("double")
+    pairs = lambda x: x * (x - 1) / 2
+
+    def side(by: str, entropy: str, pair: str) -> DataFrame:
+        # with n = sum x: entropy = ln n - sum x ln x / n
+        sizes = cells.groupBy("ind", by).agg(F.sum("nij").cast("double").alias("x")).groupBy("ind")
+        return sizes.agg(F.sum("x").alias(f"n_{by}"), F.sum(F.col("x") * F.log("x")).alias(entropy), F.sum(pairs(F.col("x"))).alias(pair))
+
+    inner = cells.groupBy("ind").agg(F.sum(double("nij") * F.log(double("nij"))).alias("l_ab"), F.sum(pairs(double("nij"))).alias("tp"))
+    one = inner.join(side("a", "l_a", "pa"), "ind").join(side("b", "l_b", "pb"), "ind")
+    n = F.col("n_a")
+    entropy = lambda c: F.log(n) - F.col(c) / n
+    mean, mutual = (entropy("l_a") + entropy("l_b")) / 2, entropy("l_a") + entropy("l_b") - entropy("l_ab")
+    expected = F.when(n > 1, F.col("pa") * F.col("pb") / pairs(n)).otherwise(0.0)
+    spread = (F.col("pa") + F.col("pb")) / 2 - expected
+    nmi = F.when(F.abs(mean) < 1e-12, 1.0).otherwise(mutual / mean)
+    return one.select("ind", nmi.alias("nmi"), F.when(F.abs(spread) < 1e-15, 1.0).otherwise((F.col("tp") - expected) / spread).alias("ari"))
+
+
+def select_best_against(front: DataFrame, truth: DataFrame, score: str = "ari") -> DataFrame:
+    """The partition of a front with the largest ``ari`` or ``nmi`` against known communities (first on ties)."""
+    if score not in ("ari", "nmi"):
+        raise ValueError("score must be ari or nmi")
+    return scores_against(front, truth).select("ind", F.round(score, 12).alias("score")).orderBy(F.desc("score"), "ind").limit(1)
+
+
 def select_target_k(front: DataFrame, target: int) -> DataFrame:
     """The row whose number of communities is nearest to ``target`` (first on ties)."""
     return select_min(front, F.abs(F.col("k") - target))

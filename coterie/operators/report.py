@@ -31,6 +31,16 @@ def resume(tasks: DataFrame, done: DataFrame, key: list[str], digits: int = 6) -
     return keyed.join(done.select(*normal(done)).distinct(), [f"__{c}" for c in key], "left_anti").select(tasks.columns)
 
 
+def prune_timeouts(tasks: DataFrame, done: DataFrame, family: str = "family", size: str = "n", status: str = "status") -> DataFrame:
+    """``tasks`` with ``skipped``: whether a smaller task of the same family has run out of time.
+
+    ``done`` holds the finished runs' family, size and status; only ``timeout`` counts.  A task of the
+    size that timed out is tried again with other seeds, larger ones are skipped.
+    """
+    least = done.where(F.col(status) == "timeout").groupBy(family).agg(F.min(size).alias("__least"))
+    return tasks.join(least, family, "left").select(*[F.col(f"`{c}`") for c in tasks.columns], F.coalesce(F.col(size) > F.col("__least"), F.lit(False)).alias("skipped"))
+
+
 def pivot(rows: DataFrame, cell: list[str], algorithm: str, value: str, algorithms: list[str], status: Column | None = None) -> DataFrame:
     """Mean and standard deviation by cell and algorithm, a pair of columns for each algorithm."""
     good = rows if status is None else rows.where(status)

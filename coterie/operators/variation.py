@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coterie.functions.rng import check_probability, pick, uniform
+from coterie.functions.rng import check_probability, lowest, pick, uniform
 from coterie.functions.scalars import centre_ceiling
-from coterie.sources.graphs import Graph, dense_ids, neighbour_lists
+from coterie.sources.graphs import Graph, neighbour_lists, numbered
 
 
 def individuals(graph: Graph, size: int) -> DataFrame:
@@ -46,15 +46,12 @@ def centres(graph: Graph, size: int, seed: int, cap: float = 1.0) -> DataFrame:
     """
     n = graph.nodes.count()
     most = centre_ceiling(n, cap)
-    ordered = graph.deg.select((-F.col("deg") * F.lit(1 << 40) + F.col("node")).alias("node"), F.col("node").alias("id"))
-    ranked = dense_ids(ordered).join(ordered, "node").select(F.col("id").alias("node"), "idx")
+    ranked = numbered(graph.deg.sort(F.desc("deg"), "node")).select("node", "idx")
     wanted = individuals(graph, size).select("ind", (1 + F.floor(uniform(seed, F.lit("centres"), F.col("ind")) * most)).cast("long").alias("c"))
     pool = F.when(F.col("ind") < size // 2, F.least(3 * F.col("c"), F.lit(n))).otherwise(F.lit(n))
-    from pyspark.sql import Window
-
-    # an individual's pool is at most all nodes of the graph
-    order = Window.partitionBy("ind").orderBy(F.xxhash64(F.lit(seed), F.lit("centre"), "ind", "node"), "node")
-    return ranked.crossJoin(F.broadcast(wanted)).where(F.col("idx") < pool).withColumn("rn", F.row_number().over(order)).where("rn <= c").select("ind", "node")
+    pools = ranked.crossJoin(F.broadcast(wanted)).where(F.col("idx") < pool).select("ind", "node", "c")
+    draw = uniform(seed, F.lit("centre"), F.col("ind"), F.col("node"))
+    return lowest(pools, ["ind"], draw, F.col("c"), ["node"], max(1, n // 1000)).select("ind", "node")
 
 
 def parents_of(size: int, ranked: DataFrame, children: DataFrame, seed: int, gen: int, count: int = 2, strict: bool = True) -> DataFrame:
@@ -72,11 +69,16 @@ def parents_of(size: int, ranked: DataFrame, children: DataFrame, seed: int, gen
     return met.select("child", "slot", F.when(better, F.col("y")).otherwise(F.col("x")).alias("ind"))
 
 
-def distinct_parents(size: int, children: DataFrame, seed: int, gen: int, count: int = 4, draws: int = 32) -> DataFrame:
-    """``child, parents``: up to ``count`` distinct random individuals (fewer only in smaller populations)."""
-    each = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.floor(uniform(seed, F.lit("parents"), F.lit(gen), F.col("child"), i) * size).cast("int"))
+def distinct_parents(size: int, ranked: DataFrame, children: DataFrame, seed: int, gen: int, count: int = 4, draws: int = 32) -> DataFrame:
+    """``child, parents``: the first ``count`` distinct winners of up to ``draws`` binary tournaments.
+
+    ``ranked`` is a population's ``ind, rank, crowd``.  Where tournaments name too few
+    individuals the first others fill up; a smaller population gives all it has.
+    """
+    won = parents_of(size, ranked, children, seed, gen, draws).groupBy("child").agg(F.array_sort(F.collect_list(F.struct("slot", "ind"))).alias("won"))
     everyone = F.sequence(F.lit(0), F.lit(size - 1))
-    return children.select("child", F.slice(F.array_distinct(F.concat(each, everyone)), 1, min(count, size)).alias("parents"))
+    named = F.concat(F.transform("won", lambda x: x["ind"].cast("int")), everyone)
+    return won.select("child", F.slice(F.array_distinct(named), 1, min(count, size)).alias("parents"))
 
 
 def ensemble_majority(votes: DataFrame, seed: int, gen: int) -> DataFrame:

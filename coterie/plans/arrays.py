@@ -41,6 +41,36 @@ class Csr:
         return self.adj[self.start[u] : self.start[u + 1]]
 
 
+class GraphView:
+    """The graph as custom objectives see it: node ids as the caller knows them."""
+
+    def __init__(self, csr: Csr):
+        self.csr = csr
+
+    def nodes(self) -> list[int]:
+        return self.csr.ids.tolist()
+
+    def edges(self) -> list[tuple[int, int]]:
+        u = self.csr.rows()
+        once = u < self.csr.adj
+        return list(zip(self.csr.ids[u[once]].tolist(), self.csr.ids[self.csr.adj[once]].tolist(), strict=True))
+
+    def place(self, node: int) -> int:
+        at = int(np.searchsorted(self.csr.ids, node))
+        if at == self.csr.n or self.csr.ids[at] != node:
+            raise KeyError(node)
+        return at
+
+    def neighbors(self, node: int) -> list[int]:
+        return self.csr.ids[self.csr.around(self.place(node))].tolist()
+
+    def degree(self, node: int) -> int:
+        return int(self.csr.deg[self.place(node)])
+
+    def partition(self, labels: np.ndarray) -> dict[int, int]:
+        return dict(zip(self.csr.ids.tolist(), labels.tolist(), strict=True))
+
+
 def canonical(labels: np.ndarray) -> np.ndarray:
     """Each label replaced by the first place that bears it."""
     _, first, back = np.unique(labels, return_index=True, return_inverse=True)

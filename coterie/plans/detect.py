@@ -15,6 +15,7 @@ the objectives in ``front.objectives(sol_id, f)``.
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -31,16 +32,19 @@ from coterie.plans.arrays import Csr
 from coterie.scratch import drop_path, prepare, store
 from coterie.sources.graphs import Graph
 
-MOST_EDGES = 20_000_000
+MOST_EDGES, MOST_NODES = 20_000_000, 20_000_000
 MOST_DENSE = 2_000
+#: Progress of detectors: ``logging.getLogger("coterie").setLevel(logging.DEBUG)`` shows every generation.
+log = logging.getLogger("coterie")
+_CORES: list[int] = []
 ROWS = "ind int, genome binary, labels binary, f array<double>, canon string"
 
 
 def load(graph: Graph) -> Csr:
     """The graph as arrays on the driver, if it is small enough to broadcast."""
-    m = graph.edges.count()
-    if m > MOST_EDGES:
-        raise ValueError(f"{m} edges are more than {MOST_EDGES}; use edge_parallel")
+    m, n = graph.edges.count(), graph.nodes.count()
+    if m > MOST_EDGES or n > MOST_NODES:
+        raise ValueError(f"{n} nodes and {m} edges are more than {MOST_NODES} and {MOST_EDGES}; use edge_parallel")
     ids = np.sort(graph.nodes.toPandas()["node"].to_numpy(np.int64))
     edges = graph.edges.toPandas()
     return Csr.build(ids, np.searchsorted(ids, edges["src"].to_numpy(np.int64)), np.searchsorted(ids, edges["dst"].to_numpy(np.int64)))
@@ -88,6 +92,7 @@ class Engine:
         else:
             dealt = slots.join(population.select("ind", "genome"), "ind", "left").select("child", "slot", "genome")
         # one group for each child: its parents' genomes, a handful
+        dealt = dealt.repartition(_CORES[0], "child") if _CORES else dealt
         return self.keep(dealt.groupBy("child").applyInPandas(work, ROWS))
 
     def keep(self, rows: DataFrame) -> DataFrame:
@@ -224,10 +229,12 @@ def check_sizes(pop_size: int, num_gens: int, **rates: float) -> None:
 # HP-MOCD: labels, ensemble crossover, majority mutation, NSGA-II
 
 
-def hpmocd_front(graph: Graph, pop_size: int = 100, num_gens: int = 100, cross_rate: float = 0.7, mut_rate: float = 0.5, seed: int = 0, objectives: list[Callable] | None = None, on_generation: Callable[[int, int, int], None] | None = None) -> Front:
-    """``objectives``: functions ``(csr, labels) -> float`` to minimise instead of intra and inter.
+def hpmocd_front(graph: Graph, pop_size: int = 100, num_gens: int = 100, cross_rate: float = 0.7, mut_rate: float = 0.5, seed: int = 0, objectives: list[Callable] | None = None, on_generation: Callable[[int, int, int], None] | None = None, stepwise: bool = False) -> Front:
+    """``objectives``: functions ``(graph, partition) -> float`` to minimise instead of intra and inter.
 
+    They get an ``arrays.GraphView`` and a mapping of node ids to labels, on the executors.
     ``on_generation(generation, generations, front size)`` is called on the driver.
+    Mutated nodes take the commonest label of a snapshot, or (``stepwise``) one after another.
     """
     check_sizes(pop_size, num_gens, cross_rate=cross_rate, mut_rate=mut_rate)
     run = Run.start(graph)
@@ -238,9 +245,14 @@ def hpmocd_front(graph: Graph, pop_size: int = 100, num_gens: int = 100, cross_r
         if not parents:
             return rng.integers(g.n, size=g.n)
         child = arrays.ensemble(parents, rng) if rng.random() < cross_rate else parents[rng.integers(len(parents))].copy()
-        return arrays.majority(g, child, np.flatnonzero(rng.random(g.n) < mut_rate), stepwise=g.n <= 128)
+        return arrays.majority(g, child, np.flatnonzero(rng.random(g.n) < mut_rate), stepwise=stepwise)
 
-    evaluate = (lambda g, labels: [float(o(g, labels)) for o in objectives]) if objectives else evaluator("intra_inter")
+    def custom(g, labels):
+        view = arrays.GraphView(g)
+        partition = view.partition(labels)
+        return [float(o(view, partition)) for o in objectives]
+
+    evaluate = custom if objectives else evaluator("intra_inter")
     engine = run.engine(make, plain_labels, evaluate, seed)
     deal = lambda rng, rank, crowd: tournament_parents(rng, rank, crowd, 4)
     rows = nsga2(engine, pop_size, num_gens, deal, 2, on_generation)
@@ -261,6 +273,7 @@ def nsga2(engine: Engine, pop_size: int, num_gens: int, deal, small: int, on_gen
         order, rank, _ = pareto.select_survivors(f, pop_size, small)
         rows = engine.keep(renumbered(both, [ids[i] for i in order]))
         engine.trim()
+        log.debug("generation %d of %d: %d individuals on the front", gen, num_gens, int((rank == 1).sum()))
         if on_generation:
             on_generation(gen, num_gens, int((rank == 1).sum()))
     return rows
@@ -610,6 +623,7 @@ def evolve_swarms(swarms: Swarms, num_gens: int, gap: int, update: Callable, to_
     micro = swarms.micro.build(0, {i: [] for i in range(n)}, None)
     macro = swarms.macro.build(0, {i: [] for i in range(n)}, None)
     for gen in range(1, num_gens + 1):
+        log.debug("generation %d of %d", gen, num_gens)
         micro_pool = micro.union(swarms.step(swarms.micro, micro, gen, swarms.parents))
         macro_pool = macro.union(swarms.step(swarms.macro, macro, gen, 2))
         if gap and gen % gap == 0:
@@ -649,6 +663,7 @@ def smocc_front(graph: Graph, pop_size: int = 100, num_gens: int = 100, cross_ra
     def update(share: np.ndarray, gen: int) -> None:
         rho = 0.5 * gen / max(num_gens, 1)
         state["w"] = (1 - rho) * state["w"] + rho * share
+        micro.extra.unpersist()  # what was made with it is stored
         micro.extra = macro.extra = sc.broadcast({"w": state["w"]})
 
     def to_bits(g, more, labels):
@@ -708,6 +723,7 @@ def mmcomo_front(graph: Graph, pop_size: int = 100, num_gens: int = 50, cross_ra
     def update(share: np.ndarray, gen: int) -> None:
         rho = 0.5 * gen / max(num_gens, 1)
         state["s"] = (1 - rho) * state["s"] + rho * share.reshape(run.csr.n, run.csr.n)
+        micro.extra.unpersist()
         micro.extra = macro.extra = sc.broadcast({"s": state["s"]})
 
     own, centres = evolve_swarms(swarms, num_gens, gap, update, lambda g, more, labels: medoid_bits(g, more["s"], labels), True)
@@ -730,6 +746,8 @@ def mmcomo_fronts(graph: Graph, **params) -> DataFrame:
 def edge_parallel(graph: Graph, pop_size: int = 20, num_gens: int = 10, cross_rate: float = 0.7, mut_rate: float = 0.5, seed: int = 0) -> DataFrame:
     """The label-based detector as joins alone: ``(node, community)`` of largest modularity.
 
+    Parents win tournaments by rank and crowding, as in ``hpmocd``; mutation follows a snapshot.
+
     Only objective vectors reach the driver; labels live in scratch tables.
     """
     from coterie.functions.rng import uniform
@@ -743,7 +761,12 @@ def edge_parallel(graph: Graph, pop_size: int = 20, num_gens: int = 10, cross_ra
     spark = graph.nodes.sparkSession
     for gen in range(1, num_gens + 1):
         children = spark.range(pop_size, 2 * pop_size).select(F.col("id").cast("int").alias("child"))
-        parents = variation.distinct_parents(pop_size, children, seed, gen)
+        f = np.array([scores[i] for i in sorted(scores)])
+        rank = pareto.ranks(f)
+        crowd = pareto.crowding_of(f, rank, 2)
+        # a row for each individual
+        ranked = spark.createDataFrame([(i, int(r), float(c)) for i, r, c in zip(sorted(scores), rank, crowd, strict=True)], "ind int, rank int, crowd double")
+        parents = variation.distinct_parents(pop_size, ranked, children, seed, gen)
         votes = variation.parent_votes(pop, parents)
         crossed = variation.ensemble_majority(votes, seed, gen)
         clone = votes.select("child", "node", F.col("labels")[0].alias("first"))
@@ -759,13 +782,22 @@ def edge_parallel(graph: Graph, pop_size: int = 20, num_gens: int = 10, cross_ra
         drop_path(spark, path)
         drop_path(spark, young_path)
         pop, path, scores = after, after_path, {k: scores[i] for k, i in enumerate(keep)}
+        log.debug("generation %d of %d: best sum of objectives %.6f", gen, num_gens, min(map(sum, scores.values())))
     top = max(sorted(scores), key=lambda i: (round(-sum(scores[i]), 12), i)) if scores else -1
     return accessors.normalize(pop.where(F.col("ind") == top).select("node", F.col("label").alias("community")), graph)
 
 
-def max_cores(n: int) -> str:
-    """The master of a local session with ``n`` cores; set it before the session starts."""
-    return f"local[{n}]" if n > 0 else "local[*]"
+def max_cores(n: int) -> bool:
+    """Build at most ``n`` individuals at a time from now on; the first call wins.
+
+    Returns whether this call was the first.  ``n`` must be positive.
+    """
+    if n < 1:
+        raise ValueError("n must be positive")
+    if _CORES:
+        return False
+    _CORES.append(n)
+    return True
 
 
 DETECTORS = {f.__name__: f for f in (smocc, hpmocd, mmcomo, ccm, krm, mocd_q, mocd_d, moga_net)}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import os
 import re
+import time
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coterie.functions.rng import uniform
+from coterie.functions.rng import lowest, uniform
 from coterie.sources.graphs import Graph, canonical_edges
 
 
@@ -54,19 +57,21 @@ def read_gml_zip(spark: SparkSession, path: str, member: str | None = None) -> t
     return graph, spark.createDataFrame([(n, order[v]) for n, v in labels], "node long, community long")
 
 
-#: The karate club, each node's larger neighbours, and its two factions (Zachary 1977).
-KARATE = {
-    0: "1 2 3 4 5 6 7 8 10 11 12 13 17 19 21 31", 1: "2 3 7 13 17 19 21 30", 2: "3 7 8 9 13 27 28 32", 3: "7 12 13", 4: "6 10", 5: "6 10 16", 6: "16", 8: "30 32 33",
-    9: "33", 13: "33", 14: "32 33", 15: "32 33", 18: "32 33", 19: "33", 20: "32 33", 22: "32 33", 23: "25 27 29 32 33", 24: "25 27 31", 25: "31", 26: "29 33", 27: "33",
-    28: "31 33", 29: "32 33", 30: "32 33", 31: "32 33", 32: "33",
-}
+#: The ties of the karate club and the members of its first faction (Zachary 1977).
+KARATE_TIES = (
+    (0, 1), (0, 2), (0, 3), (0, 4), (0, 5), (0, 6), (0, 7), (0, 8), (0, 10), (0, 11), (0, 12), (0, 13), (0, 17),
+    (0, 19), (0, 21), (0, 31), (1, 2), (1, 3), (1, 7), (1, 13), (1, 17), (1, 19), (1, 21), (1, 30), (2, 3), (2, 7),
+    (2, 8), (2, 9), (2, 13), (2, 27), (2, 28), (2, 32), (3, 7), (3, 12), (3, 13), (4, 6), (4, 10), (5, 6), (5, 10),
+    (5, 16), (6, 16), (8, 30), (8, 32), (8, 33), (9, 33), (13, 33), (14, 32), (14, 33), (15, 32), (15, 33), (18, 32), (18, 33),
+    (19, 33), (20, 32), (20, 33), (22, 32), (22, 33), (23, 25), (23, 27), (23, 29), (23, 32), (23, 33), (24, 25), (24, 27), (24, 31),
+    (25, 31), (26, 29), (26, 33), (27, 33), (28, 31), (28, 33), (29, 32), (29, 33), (30, 32), (30, 33), (31, 32), (31, 33), (32, 33),
+)
 KARATE_FIRST = frozenset((0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 16, 17, 19, 21))
 
 
 def karate_club(spark: SparkSession) -> tuple[Graph, DataFrame]:
     """The 34 members, their 78 ties and their factions."""
-    edges = [(u, int(v)) for u, vs in KARATE.items() for v in vs.split()]
-    graph = Graph.from_tables(spark.createDataFrame(edges, "src long, dst long"))
+    graph = Graph.from_tables(spark.createDataFrame(KARATE_TIES, "src long, dst long"))
     return graph, spark.createDataFrame([(n, 0 if n in KARATE_FIRST else 1) for n in range(34)], "node long, community long")
 
 
@@ -85,7 +90,8 @@ def random_graph(spark: SparkSession, n: int, m: int, seed: int = 0) -> Graph:
         draws = spark.range(4 * m + 64)
         pick = lambda purpose: F.floor(uniform(seed, F.lit(purpose), F.col("id")) * n).cast("long")
         pairs = canonical_edges(draws.select(pick("src").alias("src"), pick("dst").alias("dst")))
-    edges = pairs.orderBy(F.xxhash64(F.lit(seed), F.col("src"), F.col("dst")), "src", "dst").limit(m)
+    draw = uniform(seed, F.lit("keep"), F.col("src"), F.col("dst"))
+    edges = lowest(pairs.withColumn("__all", F.lit(0)), ["__all"], draw, F.lit(m), ["src", "dst"], max(1, m // 1000)).select("src", "dst")
     return Graph(spark.range(n).withColumnRenamed("id", "node"), edges)
 
 
@@ -136,9 +142,41 @@ def lfr_graph(spark: SparkSession, n: int, tau1: float = 2.5, tau2: float = 1.5,
     return Graph.from_tables(pairs.select("src", "dst"), truth.select("node")), truth.select("node", "community")
 
 
+#: The columns of a benchmark's result rows; the first six are a run's key.
+RESULT_KEY = ("alg", "kind", "net", "n_cfg", "mu", "seed")
+RESULT_FIELDS = (*RESULT_KEY, "status", "n", "m", "k", "time", "nmi", "ami", "ari", "hom", "cmp", "vm", "gt_k", "mu_real", "modularity", "part", "threads", "stamp")
+
+
+class ResultSink:
+    """A CSV file of result rows on the driver, each forced to disk before the next run begins."""
+
+    def __init__(self, path: str):
+        new = not os.path.exists(path) or not os.path.getsize(path)
+        self.file = open(path, "a", newline="", encoding="utf-8")
+        self.rows = csv.DictWriter(self.file, RESULT_FIELDS, restval="")
+        if new:
+            self.rows.writeheader()
+
+    def write(self, task: dict, status: str, **found) -> None:
+        """One row: the task's key, its status, the time, and what was found; unknown names raise ``ValueError``."""
+        key = {k: task.get(k, "") for k in RESULT_KEY}
+        self.rows.writerow(key | {"status": status, "stamp": time.strftime("%Y-%m-%dT%H:%M:%S")} | found)
+        self.file.flush()
+        os.fsync(self.file.fileno())
+
+    def close(self) -> None:
+        self.file.close()
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a result file, all as text."""
+    return spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in RESULT_FIELDS)).csv(path)
+
+
 def write_results(rows: DataFrame, path: str) -> None:
-    """Append result rows as CSV with a header."""
-    rows.write.mode("append").option("header", True).csv(path)
+    """Append a table of result rows as CSV files with a header; missing result columns are empty."""
+    known = [F.col(c) if c in rows.columns else F.lit("").alias(c) for c in RESULT_FIELDS]
+    rows.select(*known).write.mode("append").option("header", True).csv(path)
 
 
 def write_partition(partition: DataFrame, path: str, **run_key) -> None:

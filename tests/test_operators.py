@@ -256,7 +256,7 @@ def test_variation(spark):
     children = spark.range(5).selectExpr("cast(id as int) child")
     ranked = spark.createDataFrame([(i, 1 + i % 2, float(i)) for i in range(6)], "ind int, rank int, crowd double")
     assert variation.parents_of(6, ranked, children, 1, 1).count() == 10
-    assert all(len(set(r["parents"])) == 4 for r in variation.distinct_parents(6, children, 1, 1).collect())
+    assert all(len(set(r["parents"])) == 4 for r in variation.distinct_parents(6, ranked, children, 1, 1).collect())
     votes = spark.createDataFrame([(0, 1, [5, 3, 3, 5]), (0, 2, [1, 2, 2, 1]), (0, 3, [9, 9, 1, 1])], "child int, node long, labels array<long>")
     assert labels_of(variation.ensemble_majority(votes, 1, 1)) == [3, 2, 9]
     assert all(r["label"] in {1: (3, 5), 2: (1, 2), 3: (1, 9)}[r["node"]] for r in variation.full_majority(votes, 1, 1).collect())
@@ -311,7 +311,7 @@ def test_detector_edges(spark):
         detect.hpmocd(lone, cross_rate=2.0)
     seen = []
     g = graph(spark, TRIANGLES)
-    found = detect.hpmocd(g, pop_size=6, num_gens=2, objectives=[lambda csr, labels: len(set(labels.tolist())), lambda csr, labels: 0.0], on_generation=lambda *x: seen.append(x))
+    found = detect.hpmocd(g, pop_size=6, num_gens=2, objectives=[lambda graph, partition: len(set(partition.values())), lambda graph, partition: 0.0 * len(graph.edges())], on_generation=lambda *x: seen.append(x))
     assert len(set(labels_of(found, "community"))) <= 6 and [x[:2] for x in seen] == [(1, 2), (2, 2)]
     check_partition(detect.edge_parallel(g, 4, 1), g)
 
