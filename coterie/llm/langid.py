@@ -7,11 +7,14 @@ low.
 
 Training takes a bounded sample: about ``PER_LABEL`` rows of each label, chosen
 by a hash of the id, featurised on the executors over whole texts.  Only these
-sparse vectors reach the driver.
+sparse vectors reach the driver, where at most ``MOST_LABELS`` labels fit.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; a
-null label is never learnt; without any labelled row every text is ``und``; one
-label alone is always predicted; repeated rows get equal predictions.
+null label is never learnt, nor is a row without an id; without any labelled row
+every text is ``und``; one label alone is always predicted; of labels that cost
+alike the first by name is predicted; repeated rows get equal predictions; an
+empty table gives none; columns besides key, text and label are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ GRAMS = (2, 3, 4)
 STEPS, RATE, PENALTY = 150, 8.0, 1e-4
 #: Labels share one probability; below this the text is flagged.
 AMBIGUOUS = 0.5
-#: Up to so many labels, every split of the labels is a bit.
+#: Codewords: up to so many labels every split of the labels is a bit; more get random codewords far apart.
 EXHAUSTIVE = 6
+#: Labels of one model, at most; the sample's vectors take 16 KB a row on the driver.
+MOST_LABELS = 200
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}").search
@@ -112,8 +117,10 @@ def fit(x: np.ndarray, y: list[str]) -> Model:
     """One logistic classifier for each bit of the codewords, by accelerated full-batch descent."""
     labels = sorted(set(y))
     code = codewords(len(labels))
-    target = code[[labels.index(v) for v in y]]
-    share = np.array([1 / (len(labels) * y.count(v)) for v in labels], np.float32)[[labels.index(v) for v in y]] if y else np.zeros(0, np.float32)
+    place = {v: i for i, v in enumerate(labels)}
+    target = code[[place[v] for v in y]]
+    own = np.array([place[v] for v in y], np.int64)
+    share = (1 / (max(len(labels), 1) * np.bincount(own, minlength=len(labels))[own])).astype(np.float32)
     w = np.zeros((x.shape[1] + 1, code.shape[1]), np.float32)
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
     ahead = w
@@ -125,13 +132,15 @@ def fit(x: np.ndarray, y: list[str]) -> Model:
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = PER_LABEL) -> Model:
-    """Fit on a sample of about ``per_label`` rows of each non-null label that have a text.
+    """Fit on a sample of about ``per_label`` rows of each non-null label that have a text and an id.
 
-    The labels' number must be moderate (their names and counts reach the driver).
+    More than ``MOST_LABELS`` labels raise ``ValueError``.
     """
     prepare(labelled.sparkSession)
-    rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).where("label is not null and text is not null")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).where("label is not null and text is not null and key is not null")
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     if not counts:
         return fit(np.zeros((0, DIMENSIONS), np.float32), [])
     spread = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
