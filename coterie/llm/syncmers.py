@@ -7,10 +7,17 @@ passages give equal anchors wherever they stand, and any run of ``K - S``
 consecutive k-mers holds one.  A fingerprint is the sequence of anchor hashes in
 text order; ``K - 1`` marks on either side give short texts anchors too.
 
+Anchors keep their places, so two texts can be matched by position:
+``likeness`` compares the sets of anchors, ``alignment`` counts the shared ones
+that follow the shared one before them in both texts.
+
 Defined results: null and empty texts (and white space alone) have no anchors
-and an empty fingerprint; two empty fingerprints are alike (1.0), an empty and
-another one are not (0.0); rows with a null id come last in descending order;
-rows of one id follow a hash of their texts.
+and an empty fingerprint; two empty fingerprints are alike and aligned (1.0), an
+empty and another one are not (0.0); an anchor that a text holds several times
+counts once, at its first place; rows with a null id come last in descending
+order; rows of one id follow a hash of their texts, equal ones any order; an
+empty table gives none; columns besides the key and the text are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,14 +37,21 @@ def least_of(columns: list[Column]) -> Column:
     return columns[0] if len(columns) == 1 else F.least(*columns)
 
 
+PLACE = (1 << 31) - 1
+
+
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """Hashes (31 bits, the top one of 32 set) of the closed syncmers in text order."""
+    """The closed syncmers in text order: 31 bits of hash, then 32 bits that hold the place of the k-mer."""
     if not 0 < s < k:
         raise ValueError("s must be less than k")
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     marks = F.array(*[F.lit(i).cast("long") for i in range(k - 1)])
     hashes = F.concat(marks, F.transform(words, lambda w: F.xxhash64(w)), marks)
-    bind = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  evaluates `value` once
 
     def shifted(a: Column, count: int) -> list[Column]:
         n = F.size(a) - (count - 1)
@@ -55,28 +69,68 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
         names = [str(i) for i in range(w)]
         # every s-th inner hash, and the last: together they cover all words of the k-mer
         cover = sorted({*range(0, w, s), w - 1})
-        windows = zipped(h, w, names)
+        n = F.greatest(F.size(h) - (w - 1), F.lit(0))
+        places = F.slice(F.sequence(F.lit(0), F.size(h)), F.lit(1), n)
+        windows = F.arrays_zip(*[x.alias(name) for x, name in zip(shifted(h, w), names, strict=True)], places.alias("at"))
         edge = lambda x: F.least(x["0"], x[str(w - 1)]) <= least_of([x[n] for n in names[1:-1]] or [x["0"]])
-        value = lambda x: F.xxhash64(*[x[str(i)] for i in cover]).bitwiseAND(F.lit(0x7FFFFFFF)).bitwiseOR(F.lit(0x80000000))
+        value = lambda x: F.shiftleft(F.xxhash64(*[x[str(i)] for i in cover]).bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(x["at"].cast("long"))
         return F.transform(F.filter(windows, edge), value)
 
     found = bind(hashes, lambda h: bind(inner(h), choose))
     return F.when(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")), found).otherwise(F.array().cast("array<bigint>"))
 
 
+def hashes(found: Column) -> Column:
+    """The anchors' hashes (31 bits, the top one of 32 set)."""
+    return F.transform(found, lambda x: F.shiftright(x, 32).bitwiseOR(F.lit(0x80000000)))
+
+
 def fingerprint(found: Column) -> Column:
     """The anchors as eight hex digits each."""
-    return F.lower(F.array_join(F.transform(found, lambda x: F.hex(x)), ""))
+    return F.lower(F.array_join(F.transform(hashes(found), lambda x: F.hex(x)), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared distinct anchors over the mean number of distinct anchors of both (0 to 1)."""
+    """Shared distinct anchors over the mean number of distinct anchors of both (0 to 1); ``a`` and ``b`` are hashes."""
     shared, total = F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
     return F.when(total == 0, F.lit(1.0)).otherwise(2 * shared / F.greatest(total, F.lit(1)))
 
 
+def neighbours(a: Column, body) -> Column:
+    """``body`` of each element and the next one."""
+    n = F.greatest(F.size(a) - 1, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(2), n), body)
+
+
+def matches(a: Column, b: Column) -> Column:
+    """Places of each shared anchor in both texts (its first ones), by its place in ``a``: 31 bits each in one number."""
+    side = F.lit(1 << 31)
+    # by hash; in each, first those of a by falling place, then those of b by rising place: the first places stand side by side
+    of_a = F.transform(a, lambda x: x.bitwiseOR(F.lit(PLACE)) - x.bitwiseAND(F.lit(PLACE)))
+    of_b = F.transform(b, lambda x: x.bitwiseOR(side))
+
+    def pair(x: Column, y: Column) -> Column:
+        hit = (F.shiftright(x, 32) == F.shiftright(y, 32)) & (x.bitwiseAND(side) == 0) & (y.bitwiseAND(side) != 0)
+        places = F.shiftleft(F.lit(PLACE) - x.bitwiseAND(F.lit(PLACE)), 31).bitwiseOR(y.bitwiseAND(F.lit(PLACE)))
+        return F.when(hit, places).otherwise(F.lit(-1).cast("long"))
+
+    met = bind(F.sort_array(F.concat(of_a, of_b)), lambda all_: neighbours(all_, pair))
+    return F.sort_array(F.filter(met, lambda x: x >= 0))
+
+
+def alignment(a: Column, b: Column, total: Column) -> Column:
+    """Shared anchors in the order of both texts, over the mean number of distinct anchors (0 to 1).
+
+    A shared anchor counts if it stands, in both texts, after the shared anchor before it; the first one counts.
+    ``total`` is the number of distinct anchors of both together.
+    """
+    place = lambda x: x.bitwiseAND(F.lit(PLACE))
+    kept = lambda m: F.when(F.size(m) == 0, 0).otherwise(1 + F.size(F.filter(neighbours(m, lambda x, y: place(y) > place(x)), lambda up: up)))
+    return F.when(total == 0, F.lit(1.0)).otherwise(2 * bind(matches(a, b), kept) / F.greatest(total, F.lit(1)))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, s: int = S) -> DataFrame:
-    """``key, anchors array<long>`` for every row."""
+    """``key, anchors array<long>`` for every row: see ``anchors``."""
     return docs.select(F.col(key), text_or_empty(text).alias("__text")).select(key, anchors(F.col("__text"), k, s).alias("anchors"))
 
 
@@ -125,4 +179,24 @@ def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     marked = made.select(key, "__ghost", "__bucket", "__tie", "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), anchors(F.col("__text"), k, s).alias("__a"), anchors(F.col("__edited"), k, s).alias("__e"))
     # same window: no further shuffle or sort
     paired = marked.withColumn("__n", F.lead("__a").over(order)).where("__ghost = 0")
-    return paired.select(key, "n_chars", "edited_sha256", fingerprint(F.col("__a")).alias("fingerprint"), fingerprint(F.col("__e")).alias("edited_fingerprint"), likeness(F.col("__a"), F.col("__e")).alias("near_edited"), likeness(F.col("__a"), F.col("__n")).alias("near_next"))
+    a, e, n = (F.col(c) for c in ("__a", "__e", "__n"))
+    hashed = paired.select(key, "n_chars", "edited_sha256", "__a", "__e", "__n", *[hashes(x).alias(h) for x, h in ((a, "__ha"), (e, "__he"), (n, "__hn"))])
+    distinct = hashed.select("*", *[F.size(F.array_distinct(h)).alias(c) for h, c in (("__ha", "__da"), ("__he", "__de"), ("__hn", "__dn"))])
+    ha, he, hn = (F.col(c) for c in ("__ha", "__he", "__hn"))
+    hexed = lambda h: F.lower(F.array_join(F.transform(h, lambda x: F.hex(x)), ""))
+
+    def near(h: Column, count: str) -> Column:
+        total = F.col("__da") + F.col(count)
+        return F.when(total == 0, F.lit(1.0)).otherwise(2 * F.size(F.array_intersect(ha, h)) / F.greatest(total, F.lit(1)))
+
+    return distinct.select(
+        key,
+        "n_chars",
+        "edited_sha256",
+        hexed(ha).alias("fingerprint"),
+        hexed(he).alias("edited_fingerprint"),
+        near(he, "__de").alias("near_edited"),
+        near(hn, "__dn").alias("near_next"),
+        alignment(a, e, F.col("__da") + F.col("__de")).alias("aligned_edited"),
+        alignment(a, n, F.col("__da") + F.col("__dn")).alias("aligned_next"),
+    )
