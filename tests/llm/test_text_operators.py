@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from coterie.llm import bpe, kneserney, langid, packing, registry, secrets, simhash, syncmers
@@ -231,6 +232,20 @@ def test_word_pair_mixing_is_a_bijection():
     assert (kneserney.unmix(kneserney.mix(x)) == x).all()
 
 
+def test_token_hashes():
+    texts = [b"Ab ab\\tAB \\x0c", None, b"", b"  ", b"x" * 23 + b" " + b"X" * 24 + b"\\n" + b"x" * 24 + b" " + b"x" * 50, "\\u00e9\\u00c9 a\\x1cb\\u00a0c".encode(), b"a" * 8, b"a" * 7 + b" a"]
+    hashes, sizes = kneserney.hashed_tokens(texts)
+    words = [[*(t or b"").lower().split(), b"\\n"] for t in texts]
+    assert sizes.tolist() == [len(w) for w in words]
+    of = {}
+    for w, h in zip([w for ws in words for w in ws], hashes.tolist(), strict=True):
+        assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)
+    rng = random.Random(14)
+    many = {bytes(rng.choice(b"ab\\0") for _ in range(rng.randrange(1, 40))) for _ in range(20_000)}
+    assert len(set(kneserney.hashed_tokens([b" ".join(sorted(many))])[0].tolist())) == len(many) + 1
+
+
 class PlainModel:
     def __init__(self, texts):
         from collections import Counter
@@ -274,7 +289,9 @@ class PlainModel:
 
 
 def test_language_model_equals_brute_force(spark, sf, sample, monkeypatch):
-    monkeypatch.setattr(kneserney, "RANGE_BYTES", 100_000)  # several ranges
+    monkeypatch.setattr(kneserney, "RANGE_BYTES", 30_000)  # several ranges, in several blocks, packed several times
+    monkeypatch.setattr(kneserney, "BLOCK", 4)
+    monkeypatch.setattr(kneserney, "GATHER", 5000)
     plain = PlainModel([r["text"] for r in sample if zlib.crc32(str(r["doc_id"]).encode()) % 10])
     some = [r["doc_id"] for r in sample][::7]
     got = {r["doc_id"]: r for r in registry.op5_kneser_ney(spark, sf).collect()}
@@ -364,6 +381,56 @@ def test_language_query_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_decoding_equals_brute_force():
+    """Margins n-gram by n-gram, and each label's loss bit by bit."""
+    import math
+
+    values = np.random.default_rng(12)
+    texts = ["The house, and 3 mice!", "\u00e9t\u00e9 na\u00efve", "a", "xyz " * 50, "-- a b --", "", None, "42 !?", "UPPER lower \u6f22\u5b57"]
+
+    def plain_grams(text):
+        raw = bytearray(b" ")
+        for b in f" {text.lower()} ".encode():
+            letter = b if b >= 128 or 97 <= b <= 122 else 32
+            if letter != 32 or raw[-1] != 32:
+                raw.append(letter)
+        counts = {}
+        for n in langid.GRAMS:
+            for i in range(len(raw) - n + 1):
+                h = 0
+                for b in raw[i : i + n]:
+                    h = (h * 0x01000193 + b) % 2**32
+                h = (h ^ n) * 0x9E3779B1 % 2**32 >> 20
+                counts[h] = counts.get(h, 0) + 1
+        size = math.sqrt(sum(counts.values()))
+        return {h: math.sqrt(c) / size for h, c in counts.items()} if counts else {}
+
+    for labels in (["de", "en"], ["a", "b", "c", "d"], [f"l{i}" for i in range(9)]):
+        code = langid.codewords(len(labels))
+        model = langid.Model(labels, code, values.normal(size=(langid.DIMENSIONS, code.shape[1])).astype("f4"), values.normal(size=code.shape[1]).astype("f4"))
+        names, scores = model.predict(texts)
+        for t, name, score in zip(texts, names, scores, strict=True):
+            if not t or not any(c.isalpha() for c in t):
+                assert (name, score) == ("und", 0.0)
+                continue
+            row = plain_grams(t)
+            margins = [sum(v * float(model.weights[h, b]) for h, v in row.items()) + float(model.bias[b]) for b in range(code.shape[1])]
+            loss = [sum(math.log1p(math.exp(-m * float(bit))) for m, bit in zip(margins, word, strict=True)) for word in code]
+            share = [math.exp(min(loss) - x) for x in loss]
+            best = min(range(len(labels)), key=lambda i: loss[i])
+            assert name == labels[best] and score == pytest.approx(share[best] / sum(share), rel=1e-4)
+    tied = langid.Model(["a", "b"], langid.codewords(2), np.zeros((langid.DIMENSIONS, 1), "f4"), np.zeros(1, "f4"))
+    assert tied.predict(["text"]) == (["a"], [0.5])
+
+
+def test_language_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LABELS", 3)
+    rows = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.train(rows)
+    assert langid.train(rows.where("doc_id < 3")).labels == ["l0", "l1", "l2"]
+
+
 def test_language_edges(docs, none):
     rows = {r["key"]: r for r in langid.identify(docs.withColumnRenamed("score", "s"), langid.train(docs, "key"), "key").collect()}
     assert [rows[i]["lang_pred"] for i in (3, 4, 5, 11)] == ["und"] * 4 and rows[3]["score"] == 0
@@ -413,6 +480,14 @@ def dice(a: list[int], b: list[int]) -> float:
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
 
 
+def aligned(a: list[int], b: list[int]) -> float:
+    first = [{x: i for i, x in reversed(list(enumerate(y)))} for y in (a, b)]
+    total = len(first[0]) + len(first[1])
+    pairs = sorted((i, first[1][x]) for x, i in first[0].items() if x in first[1])
+    up = sum(y[1] > x[1] for x, y in zip(pairs, pairs[1:], strict=False)) + bool(pairs)
+    return 2 * up / total if total else 1.0
+
+
 def check_syncmers(rows, want):
     order = sorted(want, key=lambda x: -x)
     for at, i in enumerate(order):
@@ -424,6 +499,7 @@ def check_syncmers(rows, want):
         assert r["n_chars"] == len(text) and r["edited_sha256"] == sha(edited), i
         assert r["fingerprint"] == "".join(f"{x:08x}" for x in a) and r["edited_fingerprint"] == "".join(f"{x:08x}" for x in e), i
         assert r["near_edited"] == pytest.approx(dice(a, e)) and r["near_next"] == pytest.approx(dice(a, n))
+        assert r["aligned_edited"] == pytest.approx(aligned(a, e)) and r["aligned_next"] == pytest.approx(aligned(a, n))
 
 
 def test_syncmer_query_equals_brute_force(spark, sf, sample, monkeypatch):
@@ -435,6 +511,21 @@ def test_syncmer_query_equals_brute_force(spark, sf, sample, monkeypatch):
     assert sum(r["near_edited"] for r in long) / len(long) > 0.6
 
 
+def test_alignment_tells_order_from_content(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(600)]
+    parts = [words[i : i + 60] for i in range(0, 600, 60)]
+    turned = [w for p in reversed(parts) for w in p]
+    shuffled = sorted(words)
+    rows = [(" ".join(words), " ".join(x)) for x in (words, turned, shuffled, words[:300] + ["new"] * 7 + words[300:])]
+    frame = spark.createDataFrame(rows, "a string, b string").select(syncmers.anchors(F.col("a")).alias("a"), syncmers.anchors(F.col("b")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    total = F.size(F.array_distinct(syncmers.hashes(a))) + F.size(F.array_distinct(syncmers.hashes(b)))
+    got = frame.select(syncmers.likeness(syncmers.hashes(a), syncmers.hashes(b)).alias("near"), syncmers.alignment(a, b, total).alias("aligned")).collect()
+    assert got[0]["aligned"] == got[0]["near"] == 1.0 and got[2]["near"] < 0.1 and got[3]["aligned"] > 0.9
+    assert got[1]["near"] > 0.85 and 0.02 < got[1]["near"] - got[1]["aligned"] < 0.1  # nine breaks among ten blocks
+
+
 def test_syncmer_edges(docs, none, texts):
     got = syncmers.compare_edits(docs).collect()
     assert len(got) == docs.count()
