@@ -6,12 +6,12 @@ same draws on any partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coterie.functions.rng import check_probability, lowest, pick, uniform
 from coterie.functions.scalars import centre_ceiling
-from coterie.sources.graphs import Graph, neighbour_lists, numbered
+from coterie.sources.graphs import Graph, numbered
 
 
 def individuals(graph: Graph, size: int) -> DataFrame:
@@ -25,11 +25,21 @@ def random_labels(graph: Graph, size: int, seed: int) -> DataFrame:
     return graph.nodes.crossJoin(F.broadcast(individuals(graph, size))).crossJoin(F.broadcast(n)).select("ind", "node", draw.alias("label"))
 
 
+def one_neighbour(asked: DataFrame, graph: Graph, seed: int, *purpose: Column) -> DataFrame:
+    """``ind, node, whom``: a random neighbour of each ``(ind, node)`` that has any.
+
+    The neighbour of least hash, so partial minima meet and no node's neighbours are ever listed.
+    """
+    draw = F.struct(F.xxhash64(F.lit(seed).cast("long"), *purpose, F.col("ind"), F.col("node"), F.col("v")).alias("h"), F.col("v"))
+    near = asked.select("ind", "node").join(graph.adj, F.col("node") == F.col("u"))
+    return near.groupBy("ind", "node").agg(F.min(draw).alias("x")).select("ind", "node", F.col("x.v").alias("whom"))
+
+
 def neighbour_labels(graph: Graph, size: int, seed: int) -> DataFrame:
     """Each node's label is a random neighbour, or itself if isolated."""
-    drawn = pick(seed, F.col("neighbours"), F.lit("neighbour"), F.col("ind"), F.col("node"))
-    label = F.when(F.size("neighbours") > 0, drawn).otherwise(F.col("node"))
-    return neighbour_lists(graph).crossJoin(F.broadcast(individuals(graph, size))).select("ind", "node", label.alias("label"))
+    asked = graph.nodes.crossJoin(F.broadcast(individuals(graph, size)))
+    drawn = one_neighbour(asked, graph, seed, F.lit("neighbour"))
+    return asked.join(drawn, ["ind", "node"], "left").select("ind", "node", F.coalesce("whom", "node").alias("label"))
 
 
 def random_locus(candidates: DataFrame, size: int, seed: int) -> DataFrame:
@@ -125,15 +135,20 @@ def uniform_crossover(a: DataFrame, b: DataFrame, seed: int, gen: int) -> DataFr
 
 
 def macro_crossover(a: DataFrame, b: DataFrame, nodes: DataFrame, rate: float, seed: int, gen: int) -> DataFrame:
-    """``child, node``: centres from either parent, each bit flipped with ``rate``; a child without a centre gets one."""
+    """``child, node``: centres from either parent, each bit flipped with ``rate``; a child without a centre gets one.
+
+    Only set bits and flips are joined, not all nodes of all children.
+    """
     check_probability(rate)
     children = a.select("child").union(b.select("child")).distinct()
-    bits = children.crossJoin(nodes).join(a.select("child", "node", F.lit(1).alias("x")), ["child", "node"], "left").join(b.select("child", "node", F.lit(1).alias("y")), ["child", "node"], "left")
     u = lambda purpose: uniform(seed, F.lit(purpose), F.lit(gen), F.col("child"), F.col("node"))
-    bit = F.when(u("side") < 0.5, F.coalesce("x", F.lit(0))).otherwise(F.coalesce("y", F.lit(0)))
-    drawn = bits.select("child", "node", bit.bitwiseXOR((u("flip") < rate).cast("int")).alias("bit"), F.xxhash64(F.lit(seed), F.lit("repair"), F.lit(gen), "child", "node").alias("h"))
-    rescue = drawn.groupBy("child").agg(F.max("bit").alias("any"), F.min(F.struct("h", "node")).alias("first")).where("any = 0").select("child", "first.node")
-    return drawn.where("bit = 1").select("child", "node").union(rescue)
+    taken = a.select("child", "node").where(u("side") < 0.5).union(b.select("child", "node").where(u("side") >= 0.5))
+    flips = nodes.crossJoin(F.broadcast(children)).select("child", "node").where(u("flip") < rate)
+    bits = taken.union(flips).groupBy("child", "node").agg(F.count("*").alias("n")).where("n = 1").select("child", "node")  # a set bit that flips goes
+    bare = children.join(bits.select("child").distinct(), "child", "left_anti")
+    first = F.min(F.struct(F.xxhash64(F.lit(seed), F.lit("repair"), F.lit(gen), "child", "node").alias("h"), "node"))
+    rescue = nodes.crossJoin(F.broadcast(bare)).groupBy("child").agg(first.alias("first")).select("child", "first.node")
+    return bits.union(rescue)
 
 
 def majority_mutation(pop: DataFrame, wadj: DataFrame, rate: float, seed: int, gen: int, key: str = "ind") -> DataFrame:
@@ -150,11 +165,11 @@ def majority_mutation(pop: DataFrame, wadj: DataFrame, rate: float, seed: int, g
 def neighbour_mutation(pop: DataFrame, graph: Graph, rate: float, seed: int, gen: int) -> DataFrame:
     """Each node, with probability ``rate``, copies a random neighbour's label in the snapshot."""
     check_probability(rate)
-    rows = pop.join(neighbour_lists(graph), "node")
-    hit = (uniform(seed, F.lit("copy"), F.lit(gen), F.col("ind"), F.col("node")) < rate) & (F.size("neighbours") > 0)
-    asked = rows.select("ind", "node", "label", F.when(hit, pick(seed, F.col("neighbours"), F.lit("whom"), F.lit(gen), F.col("ind"), F.col("node"))).alias("whom"))
+    hit = uniform(seed, F.lit("copy"), F.lit(gen), F.col("ind"), F.col("node")) < rate
+    asked = one_neighbour(pop.where(hit), graph, seed, F.lit("whom"), F.lit(gen))
     source = pop.select("ind", F.col("node").alias("whom"), F.col("label").alias("copied"))
-    return asked.join(source, ["ind", "whom"], "left").select("ind", "node", F.coalesce("copied", "label").alias("label"))
+    copied = asked.join(source, ["ind", "whom"]).select("ind", "node", "copied")
+    return pop.join(copied, ["ind", "node"], "left").select("ind", "node", F.coalesce("copied", "label").alias("label"))
 
 
 def locus_mutation(locus: DataFrame, candidates: DataFrame, rate: float, seed: int, gen: int) -> DataFrame:

@@ -132,7 +132,15 @@ def majority(g: Csr, labels: np.ndarray, nodes: np.ndarray, weights: np.ndarray
     out = labels.copy()
     if stepwise:
         for u in nodes.tolist():
-            out[u] = majority(g, out, np.array([u]), weights)[u]
+            a, b = g.start[u], g.start[u + 1]
+            near = g.adj[a:b]
+            total: dict[int, float] = {}
+            last: dict[int, int] = {}
+            for v, x, w in zip(near.tolist(), out[near].tolist(), np.ones(b - a) if weights is None else weights[a:b].tolist(), strict=True):
+                total[x] = total.get(x, 0.0) + w
+                last[x] = v  # neighbours come in id order
+            if total:
+                out[u] = min(total, key=lambda x: (-round(total[x], 9), last[x]))
         return out
     nodes = nodes[g.deg[nodes] > 0]
     if not len(nodes):

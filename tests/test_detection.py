@@ -227,6 +227,37 @@ def test_partitions_from_and_to_python(spark, tmp_path):
     assert graphs.to_dict(loaders.read_labels(spark, str(tmp_path / "l.txt"))) == {1: 3, 2: 3}
 
 
+def test_stepwise_majority_equals_one_snapshot_per_node():
+    edges = cliques(5, 4)
+    csr = arrays.Csr.build(np.arange(20), np.array([min(e) for e in edges]), np.array([max(e) for e in edges]))
+    rng = np.random.default_rng(5)
+    for weights in (None, rng.integers(1, 4, len(csr.adj)).astype(float)):
+        labels = rng.integers(5, size=20)
+        want = labels.copy()
+        for u in range(20):
+            want[u] = arrays.majority(csr, want, np.array([u]), weights)[u]
+        assert (arrays.majority(csr, labels, np.arange(20), weights, stepwise=True) == want).all()
+
+
+def test_macro_crossover_bit_by_bit(spark):
+    g = graph(spark, cliques(6, 5), [40, 41])
+    nodes = [r["node"] for r in g.nodes.collect()]
+    rng = random.Random(6)
+    parents = [[(c, n) for c in range(4) for n in nodes if rng.random() < 0.2 and c != 3] + [(3, 1)] * (i == 0) for i in range(2)]
+    a, b = (spark.createDataFrame(x, "child int, node long") for x in parents)
+    for rate in (0.0, 0.1, 1.0):
+        got = {(r["child"], r["node"]) for r in variation.macro_crossover(a, b, g.nodes, rate, 1, 2).collect()}
+        draws = spark.range(4).selectExpr("cast(id as int) child").crossJoin(g.nodes)
+        u = lambda what: uniform(1, F.lit(what), F.lit(2), F.col("child"), F.col("node"))
+        want = set()
+        for r in draws.select("child", "node", u("side").alias("side"), u("flip").alias("flip")).collect():
+            bit = (r["child"], r["node"]) in parents[r["side"] >= 0.5]
+            if bit != (r["flip"] < rate):
+                want.add((r["child"], r["node"]))
+        bare = set(range(4)) - {c for c, _ in want}
+        assert {x for x in got if x[0] not in bare} == want and all(sum(c == x for c, _ in got) == 1 for x in bare)
+
+
 def test_array_routines(spark):
     edges = cliques(4, 4)
     n = 16
