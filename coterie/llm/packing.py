@@ -6,16 +6,22 @@ sequence; ``pack`` places pieces.  The driver sees only the histogram of lengths
 with the most space left, as counts of packing patterns.  Every pattern position
 then owns a range of ranks among the pieces of its length, and each piece finds
 its sequence and offset from its rank.  A hot length is ranked in salted buckets
-whose sizes are summed, so no task holds all pieces of one length.
-
-Defined results: null and empty texts are one end id; repeated rows are packed
-each; an empty table packs to nothing.  Ranks follow ``(salt, key, start)``.
+whose sizes are summed, so no task holds all pieces of one length: n of them make
+buckets of the root of n, at least ``BUCKET``, so neither a bucket nor the list
+of buckets grows faster than that.
+
+Defined results: null and empty texts are one end id; repeated rows and rows that
+share an id or have none are packed each; an empty table packs to nothing; other
+columns, whatever their names, are not read.  Ranks follow the salt, the key, the
+start, then the other numbers of a piece; pieces equal in all are interchangeable.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +35,8 @@ from coterie.llm.common import materialize, prepare, rows_in_slices, text_or_emp
 
 SIZE = 2048
 END = 1
-#: Pieces of one length that are ranked together in a task.
-BUCKET = 1_000
+#: Pieces of one length that are ranked together in a task, at least.
+BUCKET = 200
 
 
 def pieces(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -84,7 +90,13 @@ def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tup
         while left:
             space = -spaces[0] if spaces else 0
             if space < length:
-                add(size - length, left, (length,))
+                # new packs, each filled before the next is opened: it is the one with the most space left
+                each = size // length
+                full, rest = divmod(left, each)
+                if full:
+                    add(size - each * length, full, (length,) * each)
+                if rest:
+                    add(size - rest * length, 1, (length,) * rest)
                 break
             count, pattern = by_space[space].pop()
             taken = min(count, left)
@@ -99,9 +111,11 @@ def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tup
 
 
 def slots(patterns: list[tuple[int, tuple[int, ...]]], histogram: dict[int, int]) -> tuple[dict[int, int], np.ndarray]:
-    """First place of each length, and a row ``(first place, first sequence, offset)`` for each pattern position.
+    """First place of each length, and a row ``(first place, first sequence, offset, packs, length)`` for each run of
+    equal lengths in a pattern.
 
-    Places number all pieces, by length and rank.
+    Places number all pieces, by length and rank; a run's places go round its packs.  The distinct lengths of a pattern
+    sum to at most its size, so there are few runs.
     """
     base, at = {}, 0
     for length in sorted(histogram):
@@ -111,12 +125,13 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]], histogram: dict[int, int]
     rows, sequence = [], 0
     for count, pattern in patterns:
         offset = 0
-        for length in pattern:
-            rows.append((base[length] + used[length], sequence, offset))
-            used[length] += count
-            offset += length
+        for length, run in groupby(pattern):
+            times = len(list(run))
+            rows.append((base[length] + used[length], sequence, offset, count, length))
+            used[length] += count * times
+            offset += length * times
         sequence += count
-    return base, np.array(sorted(rows), dtype=np.int64).reshape(-1, 3)
+    return base, np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
 def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
@@ -128,9 +143,11 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
         raise ValueError(f"lengths must be 1 to {size}")
     base, table = slots(shortest_pack_first(histogram, size), histogram)
     # at most `size` rows: one for each length
-    salts = F.broadcast(spark.createDataFrame([(x, -(-n // BUCKET), base[x]) for x, n in histogram.items()], "length long, __salts long, __base long"))
-    salted = parts.join(salts, "length").withColumn("__salt", F.pmod(F.xxhash64("key", "start"), "__salts"))
-    ranked = salted.withColumn("__rank", F.row_number().over(W.Window.partitionBy("length", "__salt").orderBy("key", "start")))
+    salts = F.broadcast(spark.createDataFrame([(x, -(-n // max(BUCKET, math.isqrt(n))), base[x]) for x, n in histogram.items()], "length long, __salts long, __base long"))
+    numbers = [c for c, kind in parts.dtypes if kind == "bigint" and c not in ("key", "start", "length")]
+    # rows that share a key (or lack one) are told apart by their numbers, so they spread too
+    salted = parts.join(salts, "length").withColumn("__salt", F.pmod(F.xxhash64("key", "start", *numbers), "__salts"))
+    ranked = salted.withColumn("__rank", F.row_number().over(W.Window.partitionBy("length", "__salt").orderBy("key", "start", *numbers)))
     sizes = salted.groupBy("length", "__salt").agg(F.count("*").alias("n"))
     before = sizes.select("length", "__salt", (F.sum("n").over(W.Window.partitionBy("length").orderBy("__salt")) - F.col("n")).alias("__before"))
     placed = ranked.join(before, ["length", "__salt"]).withColumn("__place", F.col("__base") + F.col("__before") + F.col("__rank") - 1).select(*parts.columns, "__place")
@@ -140,8 +157,9 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
         firsts = table[:, 0]
         for batch in batches:
             place = batch.column(batch.num_columns - 1).to_numpy()
-            row = np.searchsorted(firsts, place, side="right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(table[row, 1] + place - firsts[row]), pa.array(table[row, 2])], schema.names)
+            first, sequence, offset, packs, length = table[np.searchsorted(firsts, place, side="right") - 1].T
+            turn, pack = np.divmod(place - first, packs)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence + pack), pa.array(offset + turn * length)], schema.names)
 
     return placed.mapInArrow(run, schema)
 
