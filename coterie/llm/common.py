@@ -8,9 +8,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coterie.scratch import drop_path, materialize, prepare, scratch_path
+from coterie.scratch import drop_path, materialize, prepare, scratch_path, store
 
-__all__ = ["Memo", "drop_path", "materialize", "prepare", "rows_in_slices", "scratch_path", "table", "text_or_empty"]
+__all__ = ["Memo", "drop_path", "materialize", "prepare", "rows_in_slices", "scratch_path", "store", "table", "text_or_empty"]
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coterie.llm.common import materialize, prepare, rows_in_slices, scratch_path
+from coterie.llm.common import drop_path, prepare, rows_in_slices, scratch_path, store
 
 #: Bytes of text whose word pairs one range may hold, about; ranges grow in number with the input.
 RANGE_BYTES = 8 << 20
@@ -465,7 +465,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         files.write(f"word-counts-{part}", counts[:, 0])
         return pa.table({"part": [part], "n": [len(keys)], "total": [int(counts.sum())]})
 
-    sizes = materialize(source.mapInArrow(count_words, PACKED).groupBy("part").applyInArrow(write_words, "part long, n long, total long"), "lm-words")
+    sizes, sizes_path = store(source.mapInArrow(count_words, PACKED).groupBy("part").applyInArrow(write_words, "part long, n long, total long"), "lm-words")
     n_words, n_tokens = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     model = Model(root, ranges, write_firsts(sizes.select("part", "n"), "word", ranges, files), BLOCK, n_docs, n_tokens, n_words)
     if not n_docs:
@@ -502,7 +502,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
             rows.append({"kind": "words", "part": r, "keys": packed_rows([(r, ids[a:b].astype(U), own[a:b])]).column(1)[0].as_py(), "counts": own[a:b].astype("<u4").tobytes(), "n": []})
         return pa.Table.from_pylist(rows, pa.schema([("kind", pa.string()), ("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.list_(pa.int64()))]))
 
-    found = materialize(source.mapInArrow(count_pairs, PACKED).groupBy("part").applyInArrow(write_pairs, stats), "lm-stats")
+    found, found_path = store(source.mapInArrow(count_pairs, PACKED).groupBy("part").applyInArrow(write_pairs, stats), "lm-stats")
 
     def write_statistics(table: pa.Table) -> pa.Table:
         """Of each word of the range: followers seen once, twice and more often, and words it follows."""
@@ -517,11 +517,13 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         seen = own[:, 3]
         return pa.table({"part": [part], "start": [start[0].tolist() if len(start) else []], "n": [[int((seen == i).sum()) for i in (1, 2, 3, 4)] + [int((seen > 0).sum())]]}, schema=pa.schema([("part", pa.int64()), ("start", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
 
-    per_range = materialize(found.where("kind = 'words'").select("part", "keys", "counts").groupBy("part").applyInArrow(write_statistics, "part long, start array<long>, n array<long>"), "lm-words")
+    per_range, per_range_path = store(found.where("kind = 'words'").select("part", "keys", "counts").groupBy("part").applyInArrow(write_statistics, "part long, start array<long>, n array<long>"), "lm-words")
     every = found.where("kind = 'total'")
     write_firsts(every.select("part", F.col("n")[0].alias("n")), "pair", ranges, files)
     totals = every.select(*[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(5)]).first()
     *words, start = per_range.select(*[F.sum(F.col("n")[i]) for i in range(5)], F.max("start")).first()  # one range has the start
+    for path in (sizes_path, found_path, per_range_path):  # the model's files are all that is left
+        drop_path(spark, path)
     model.pairs = totals[0]
     model.pair_discounts, model.word_discounts = discounts(*totals[1:]), discounts(*words[:4])
     d = model.word_discounts

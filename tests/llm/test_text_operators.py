@@ -352,6 +352,28 @@ def test_packing_patterns_hold_the_histogram():
         assert held == histogram
 
 
+def test_packing_places_like_single_pieces():
+    """Pieces one by one, longest first, each into the pack with the most space left."""
+    rng = random.Random(15)
+    for size, n in ((16, 60), (64, 300), (2048, 900)):
+        lengths = [min(size, rng.choice([rng.randrange(1, size + 1), rng.randrange(1, size // 4 + 1), size // 8])) for _ in range(n)]
+        spaces = []
+        for x in sorted(lengths, reverse=True):
+            if spaces and max(spaces) >= x:
+                spaces[spaces.index(max(spaces))] -= x
+            else:
+                spaces.append(size - x)
+        patterns = packing.shortest_pack_first({x: lengths.count(x) for x in lengths}, size)
+        assert sorted(size - sum(p) for count, p in patterns for _ in range(count)) == sorted(spaces)
+
+
+def test_packing_of_rows_without_or_with_one_id(spark):
+    rows = [(None, f"word {i}") for i in range(40)] + [(7, "same words")] * 40
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), 16).collect()
+    assert len(out) == 80 and sum(r["length"] for r in out) == sum(r["doc_tokens"] for r in out)
+    check_packed(out, 16)
+
+
 def test_packing_edges(spark, docs, none, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET", 3)  # several buckets for a hot length
     many = docs.select("key", "text").union(spark.range(60).selectExpr("id + 100", "'same words'"))
