@@ -705,17 +705,20 @@ def smocc_fronts(graph: Graph, **params) -> DataFrame:
 scale, scale_fronts = smocc, smocc_fronts  # deprecated names
 
 
-def mmcomo_front(graph: Graph, pop_size: int = 100, num_gens: int = 50, cross_rate: float = 0.1, mut_rate: float = 0.1, gap: int = 10, beta: float = 0.05, seed: int = 0) -> Front:
-    """Dense similarities: at most ``MOST_DENSE`` nodes."""
+def mmcomo_front(graph: Graph, pop_size: int = 100, num_gens: int = 50, cross_rate: float = 0.1, mut_rate: float = 0.1, gap: int = 10, beta: float = 0.05, seed: int = 0, most_nodes: int = MOST_DENSE) -> Front:
+    """Dense similarities of all pairs of nodes are broadcast: 8 bytes each, 32 MB for ``MOST_DENSE`` nodes.
+
+    A caller whose workers have the memory may raise ``most_nodes``; the kernel takes time with its cube.
+    """
     check_sizes(pop_size, num_gens, cross_rate=cross_rate, mut_rate=mut_rate)
-    if (n := graph.nodes.count()) > MOST_DENSE:
-        raise ValueError(f"{n} nodes are more than {MOST_DENSE}, the most of a dense kernel")
+    if (n := graph.nodes.count()) > most_nodes:
+        raise ValueError(f"{n} nodes are more than {most_nodes}, the most of a dense kernel")
     run = Run.start(graph)
     if not run.csr.n:
         return nothing(run.spark)
     sc = run.spark.sparkContext
     state = {"s": arrays.diffusion_kernel(run.csr, beta)}
-    shared = sc.broadcast(state)  # MOST_DENSE squared numbers at most
+    shared = sc.broadcast(state)  # most_nodes squared numbers at most
     micro = run.engine(labels_make(cross_rate, 0.0, False, False), plain_labels, evaluator("kkm_rc"), seed, 1, shared)
     macro = run.engine(bits_make(cross_rate, mut_rate, 1.0), nearest_labels, evaluator("kkm_rc"), seed, 2, shared)
     swarms = Swarms(run, micro, macro, pop_size, 2, True)
