@@ -12,12 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL: dict[str, str] = {}
 
 
+#: Bytes of an Arrow batch to a Python worker, where the session has Spark's own default of four times as much.
+BATCH_KEY, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 16 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package from the driver's source tree.
+    """Let Python workers import this package from the driver's source tree, and bound their batches.
 
     On a cluster without a shared source tree ship the package with
     ``--py-files``; this only adds the driver's path to the workers' search path.
+    A batch holds thousands of rows, which may be long texts; a session that sets
+    its own bound keeps it.
     """
+    default = f"{BATCH_DEFAULT}b"
+    if spark.conf.get(BATCH_KEY, default) == default:
+        spark.conf.set(BATCH_KEY, f"{BATCH}b")
     root = str(Path(__file__).resolve().parents[1])
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
