@@ -349,7 +349,7 @@ class Codec:
 
     def piece_ids(self, data: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in the pool the ids of each piece stand, and their number."""
-        if self.held >= SLOTS // 2 or self.used > POOL * 3 // 4:
+        if self.held >= SLOTS // 2 or self.used > POOL * 3 // 4 or len(self.pool) > POOL:
             self.forget()
         offsets, counts = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         short = np.flatnonzero(lengths <= SHORT)
@@ -382,7 +382,7 @@ class Codec:
             return offsets, counts
         place = self.used + np.cumsum(number) - number
         end = self.used + len(ids)
-        if end > len(self.pool):  # one very large slice: the pool grows until it is next emptied
+        if end > len(self.pool):  # one very long piece: the pool grows, and is emptied before the next slice
             self.pool = np.append(self.pool, np.zeros(end - len(self.pool), np.int32))
         self.pool[self.used : end] = ids
         where = np.concatenate([lacks, far])

@@ -159,6 +159,8 @@ def test_encoder_memory_is_bounded(library, monkeypatch):
             assert np.frombuffer(packed, "<i4").tolist() == library.encode(t, add_special_tokens=False).ids
         assert c.held <= bpe.SLOTS // 2 and c.long.bytes <= bpe.MEMO_BYTES and len(c.long.old) * c.long.ENTRY <= bpe.MEMO_BYTES
         assert all(len(p) <= c.long.LONGEST for p in c.long)
+    long = "\u6f22" * 20_000  # one piece of more ids than the pool holds
+    assert np.frombuffer(c.encode(long), "<i4").tolist() == library.encode(long, add_special_tokens=False).ids and len(c.pool) > bpe.POOL
     c.encode_all(["a b"] * 10)
     assert len(c.pool) <= bpe.POOL
 
