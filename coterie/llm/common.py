@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from coterie.scratch import drop_path, materialize, prepare, scratch_path, store
 
-__all__ = ["Memo", "drop_path", "materialize", "prepare", "rows_in_slices", "scratch_path", "store", "table", "text_or_empty"]
+__all__ = ["Memo", "drop_path", "in_fewer_files", "materialize", "prepare", "rows_in_slices", "scratch_path", "store", "table", "text_or_empty"]
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -21,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of input, by Spark's estimate, that a task has at least where a table is stored in fewer files.
+TASK_BYTES = 8 << 20
+
+
+def in_fewer_files(df: DataFrame) -> DataFrame:
+    """``df`` without very small partitions, which would each be a file with its own buffers.
+
+    Partitions are joined, without a shuffle, until each stands for ``TASK_BYTES`` of the plan's estimated size
+    or there are two for each core; larger partitions stay as they are.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), (1 << 31) - 1))
+
+
 class Memo(dict):
     """A memo bounded by bytes: two generations of about ``most_bytes`` each.
 

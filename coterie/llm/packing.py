@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from coterie.llm.bpe import SLICE, codec, default_vocabulary, ids_array
-from coterie.llm.common import materialize, prepare, rows_in_slices, text_or_empty
+from coterie.llm.common import in_fewer_files, materialize, prepare, rows_in_slices, text_or_empty
 
 SIZE = 2048
 END = 1
@@ -166,5 +166,5 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
 
 def pack_documents(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """One row for each piece: ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
-    parts = materialize(pieces(docs, size, key, text, vocabulary), "pieces")
+    parts = materialize(in_fewer_files(pieces(docs, size, key, text, vocabulary)), "pieces")
     return pack(parts, size).withColumnRenamed("key", key)
