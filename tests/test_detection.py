@@ -82,14 +82,14 @@ def test_ranks_equal_peeling():
 
 def test_fronts_of_tables(spark):
     rng = random.Random(2)
-    for n, values in ((0, 1), (200, 15), (300, 1000)):
+    for n, values in ((0, 1), (60, 6), (300, 1000)):
         vectors = [(i, [float(rng.randrange(values)), float(rng.randrange(values))]) for i in range(n)]
         objs = spark.createDataFrame(vectors, "ind int, f array<double>").repartition(5)
         beats = lambda a, b: a[0] <= b[0] and a[1] <= b[1] and a != b
         want = {i for i, f in vectors if not any(beats(g, f) for _, g in vectors)}
         assert {r["ind"] for r in pareto.rank_one_of_two(objs).collect()} == want == {r["ind"] for r in pareto.rank_one(objs).collect()}
         ranked = {r["ind"]: r["rank"] for r in pareto.non_dominated_sort(objs).collect()}
-        assert ranked == {r["ind"]: r["rank"] for r in pareto.non_dominated_sort(objs, most_vectors=0).collect()} or n > 200
+        assert n > 60 or ranked == {r["ind"]: r["rank"] for r in pareto.non_dominated_sort(objs, most_vectors=0).collect()}
         assert {i for i, r in ranked.items() if r == 1} == want and len(ranked) == n
 
 
@@ -137,17 +137,17 @@ def test_quality_on_the_karate_club(spark):
     faction = objectives.modularity(truth, g).first()["q"]
     assert faction == pytest.approx(0.358234714003945, abs=1e-12)
     for name in ("smocc", "hpmocd"):
-        found = detect.DETECTORS[name](g, pop_size=40, num_gens=15, seed=1)
+        found = detect.DETECTORS[name](g, pop_size=30, num_gens=8, gap=4, seed=1) if name == "smocc" else detect.hpmocd(g, pop_size=40, num_gens=12, seed=1)
         check_partition(found, g)
         assert objectives.modularity(found, g).first()["q"] > 0.25
-        assert metrics.gt_metrics(found, found).first() == (1.0, 1.0, 1.0, 1.0)
+        assert list(metrics.gt_metrics(found, found).first()) == pytest.approx([1.0] * 4)
 
 
 def test_ring_of_cliques_and_repetition(spark):
     g = graph(spark, cliques(8, 5))
     runs = [sorted(map(tuple, detect.smocc_fronts(graphs.Graph(g.nodes.repartition(k), g.edges.repartition(k)), pop_size=20, num_gens=3, gap=1, seed=9).collect())) for k in (1, 5)]
     assert runs[0] == runs[1]
-    q = objectives.modularity(detect.smocc(g, pop_size=40, num_gens=10, gap=2, seed=1), g).first()["q"]
+    q = objectives.modularity(detect.smocc(g, pop_size=30, num_gens=4, gap=2, seed=1), g).first()["q"]
     assert q > 0.6  # the cliques themselves: 0.784
 
 
