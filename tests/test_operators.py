@@ -1,6 +1,7 @@
 """Relational operators against small exact cases and array-side brute force."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -213,6 +214,28 @@ def test_tiny_communities_follow_the_heavier_edge(spark):
         assert arrays.absorb(csr, np.array([0, 0, 0, 3, 3, 3, 6]), weights)[6] == want
 
 
+def test_absorbing_takes_time_with_the_graph_not_with_communities_times_nodes():
+    n, pairs = 400_000, np.arange(0, 200_000, 2)  # half of the nodes are isolated
+    g = arrays.Csr.build(np.arange(n), pairs, pairs + 1)
+    began = time.monotonic()
+    found = arrays.absorb(g, np.arange(n), np.ones(len(g.adj)))
+    assert time.monotonic() - began < 15
+    want = np.arange(n)
+    want[pairs] += 1
+    assert (found == want).all()
+
+
+def test_absorbing_does_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    ends = np.unique(np.sort(rng.integers(60, size=(50, 2))), axis=0)
+    ends = ends[ends[:, 0] < ends[:, 1]]
+    g = arrays.Csr.build(np.arange(60), ends[:, 0], ends[:, 1])
+    labels, weights = rng.integers(-20, 20, size=60) * 3, rng.random(len(g.adj))
+    whole = arrays.absorb(g, labels, weights)
+    monkeypatch.setattr(arrays, "BLOCK", 1)
+    assert (arrays.absorb(g, labels, weights) == whole).all() and (whole != labels).any()
+
+
 def test_both_sides_agree_on_codecs(spark):
     g, _ = loaders.planted_partition(spark, 60, 4, 5.0, 0.3, 3)
     csr = detect.load(g)
