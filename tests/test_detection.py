@@ -151,6 +151,23 @@ def test_ring_of_cliques_and_repetition(spark):
     assert q > 0.6  # the cliques themselves: 0.784
 
 
+def test_smocc_scores_its_front_as_the_relational_side_and_expands_one_partition(spark, monkeypatch):
+    g = graph(spark, cliques(4, 4), [90, 91])
+    params = {"pop_size": 8, "num_gens": 1, "gap": 1, "seed": 2}
+    front = detect.smocc_front(g, **params).partitions
+    label = F.when(F.col("community") < 0, -1 - F.col("node")).otherwise(F.col("community"))
+    objs = objectives.objectives(front.select(F.col("sol_id").alias("ind"), "node", label.alias("label")), g)
+    run, pool, ids = detect.smocc_pool(g, **params)
+    assert len(ids) > 1
+    found = {ids.index(r["ind"]): [r["kkm"], r["rc"], r["intra"], r["inter"]] for r in detect.label_free_scores(pool, ids, run.shared).collect()}
+    assert found == {r["ind"]: pytest.approx([r["kkm"], r["rc"], r["intra"], r["inter"]], abs=1e-9) for r in objs.collect()}
+    expanded, as_front = [], detect.as_front
+    monkeypatch.setattr(detect, "as_front", lambda rows, places, graph: expanded.append(len(places)) or as_front(rows, places, graph))
+    top = pareto.select_label_free(objs).first()["ind"]
+    assert labels_of(detect.smocc(g, **params), "community") == labels_of(front.where(F.col("sol_id") == top), "community")
+    assert expanded == [1]
+
+
 def test_complete_graph_and_old_names(spark):
     complete = graph(spark, list(itertools.combinations(range(6), 2)))
     for f in (detect.smocc, detect.scale):
