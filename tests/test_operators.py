@@ -225,6 +225,27 @@ def test_absorbing_takes_time_with_the_graph_not_with_communities_times_nodes():
     assert (found == want).all()
 
 
+def test_spreading_takes_time_with_what_changes_not_with_sweeps_times_nodes():
+    n, path = 4_000_000, np.arange(9_999)
+    g = arrays.Csr.build(np.arange(n), path, path + 1)
+    began = time.monotonic()
+    found = arrays.propagate_from(g, np.array([9_999]), np.ones(len(g.adj)))  # each ascending sweep moves down by one node
+    assert time.monotonic() - began < 6
+    assert (found[:10_000] == 9_999).all() and (found[10_000:] == np.arange(10_000, n)).all()
+
+
+def test_children_of_large_graphs_have_tasks_of_their_own_and_the_same_result(spark, triangles, monkeypatch):
+    def build():
+        engine = detect.Run.start(triangles).engine(detect.locus_make(0.5, 0.5, False), detect.locus_labels, detect.evaluator("intra_inter"), 1)
+        rows = engine.build(0, {i: [] for i in range(8)}, None)
+        return rows.select(F.input_file_name()).distinct().count(), sorted(map(tuple, rows.select("ind", "labels").collect()))
+
+    few, labels = build()
+    monkeypatch.setattr(detect, "SPREAD", 0)
+    many, same = build()
+    assert few == 1 < many and labels == same
+
+
 def test_absorbing_does_not_depend_on_blocks(monkeypatch):
     rng = np.random.default_rng(3)
     ends = np.unique(np.sort(rng.integers(60, size=(50, 2))), axis=0)
